@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat_format, line_frequency, mixing, sharding, token_count, url_filter
+from brindle.llm import chat_format, line_frequency, mixing, near_dup, sharding, token_count, url_filter
 from brindle.llm.session import table
 
 N_SHARDS = 16
@@ -47,6 +47,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame([(d,) for d in LISTED_DOMAINS], "key string")
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed).drop("url")
