@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat_format, line_frequency, mixing, near_dup, sharding, token_count, url_filter
+from brindle.llm import chat_format, decontaminate, line_frequency, mixing, near_dup, rule_classifier, sharding, token_count, url_filter
 from brindle.llm.session import table
 
 N_SHARDS = 16
@@ -28,6 +28,11 @@ LISTED_DOMAINS = [
 PROBE_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return decontaminate.digests(decontaminate.decontaminate(docs, items, keep=["doc_id"]))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -67,5 +72,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(chat_format.as_events(rows.unionByName(probe))))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = rule_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return rule_classifier.classify(docs, model, ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in sorted(globals().items()) if n.startswith("op") and callable(f)}

@@ -89,6 +89,8 @@ class Words:
     end: np.ndarray
     first: np.ndarray  # of each row, and one more
     hash: np.ndarray
+    at: np.ndarray  # each row's first byte, and one more
+    raw: np.ndarray | None = None  # the bytes before lower-casing
 
     @property
     def counts(self) -> np.ndarray:
@@ -122,7 +124,9 @@ def slices(texts: pa.Array, kind: np.ndarray) -> Iterator[tuple[int, int, Words]
     i = 0
     while i < len(at) - 1:
         j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE_BYTES, "right")) - 1)
-        yield i, j, words(_LOWER[raw[at[i] : at[j]]], at[i : j + 1] - at[i], kind)
+        own = words(_LOWER[raw[at[i] : at[j]]], at[i : j + 1] - at[i], kind)
+        own.raw = raw[at[i] : at[j]]
+        yield i, j, own
         i = j
 
 
@@ -137,7 +141,7 @@ def words(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> Words:
     ends[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     first = np.searchsorted(start, at)
-    return Words(data, start, end, first, word_hashes(data, start, end))
+    return Words(data, start, end, first, word_hashes(data, start, end), at)
 
 
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
