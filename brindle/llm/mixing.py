@@ -148,7 +148,8 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     )
     goal = targets(hist.select("source", "source_size"), weights, share, cap).select(F.col("source").alias("_s"), "target")
     hist = hist.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("mean", F.greatest(F.col("source_size") / F.col("_docs"), F.lit(1e-9)))
-    plan = cut(_plan(solve(hist, cap), cap))
+    # Cut in between, as the plan's lambdas would otherwise each solve the dual anew.
+    plan = cut(_plan(cut(solve(hist, cap)), cap))
     within = Window.partitionBy(src, "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     first = cells.withColumn("_first", F.coalesce(F.sum("n").over(within), F.lit(0))).select(F.col(src).alias("_s"), F.col("_c").alias("_k"), F.col("_b").alias("_d"), "_first")
     p, f = plan.alias("p"), first.alias("f")
