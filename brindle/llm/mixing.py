@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.session import cut, free_name
+from brindle.llm.session import cut
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -135,28 +135,40 @@ def _plan(solved: DataFrame, cap: int) -> DataFrame:
     return solved.withColumn("_plan", plan).select("source", "source_size", "target", F.explode("_plan").alias("p")).select("source", "source_size", "target", "p.*")
 
 
-def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken (copies * size) of each row, with the columns named in keep."""
-    src = free_name(docs, "_source")
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias(src), word_count(F.col(text)).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+def source_key(source: Column) -> Column:
+    """Never null, and in the sources' order: by code point, null last. So equal keys can share a partitioning."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("null"))
+
+
+def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, whole_rows: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken (copies * size) of each row; with whole_rows, its columns as _row."""
+    row = [F.struct(*[F.col(c) for c in docs.columns]).alias("_row")] if whole_rows else []
+    rows = docs.select(F.col(doc_id).alias("_id"), source_key(F.col(source)).alias("_source"), word_count(F.col(text)).alias("size"), *row)
     rows = rows.withColumn("_c", size_class(F.col("size"))).withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(29)), F.lit(BUCKETS)).cast("int"))
-    sized = rows if keep else cut(rows)
-    cells = cut(sized.groupBy(src, "_c", "_b").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("m")))
-    classes = cells.groupBy(src, "_c").agg(F.sum("n").alias("n"), F.sum("m").cast("double").alias("m"))
-    hist = classes.groupBy(F.col(src).alias("source")).agg(
+    rows = rows if whole_rows else cut(rows)
+    cells = cut(rows.groupBy("_source", "_c", "_b").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("m")))
+    classes = cells.groupBy("_source", "_c").agg(F.sum("n").alias("n"), F.sum("m").cast("double").alias("m"))
+    hist = classes.groupBy(F.col("_source").alias("source")).agg(
         F.sum("m").cast("long").alias("source_size"), F.sum("n").alias("_docs"), F.collect_list(F.struct(F.col("_c").alias("c"), "n", "m")).alias("h")
     )
-    goal = targets(hist.select("source", "source_size"), weights, share, cap).select(F.col("source").alias("_s"), "target")
-    hist = hist.join(goal, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("mean", F.greatest(F.col("source_size") / F.col("_docs"), F.lit(1e-9)))
+    goal = targets(hist.select("source", "source_size"), weights, share, cap).select("source", "target")
+    hist = hist.join(goal, "source").withColumn("mean", F.greatest(F.col("source_size") / F.col("_docs"), F.lit(1e-9)))
     # Cut in between, as the plan's lambdas would otherwise each solve the dual anew.
-    plan = cut(_plan(cut(solve(hist, cap)), cap))
-    within = Window.partitionBy(src, "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    first = cells.withColumn("_first", F.coalesce(F.sum("n").over(within), F.lit(0))).select(F.col(src).alias("_s"), F.col("_c").alias("_k"), F.col("_b").alias("_d"), "_first")
-    p, f = plan.alias("p"), first.alias("f")
-    cell = f.join(p, F.col("_s").eqNullSafe(F.col("p.source")) & (F.col("_k") == F.col("p.c"))).select("_s", "_k", "_d", "_first", "p.source_size", "p.target", "p.n", "p.base", "p.extra")
-    rank = F.row_number().over(Window.partitionBy(src, "_c", "_b").orderBy("size", F.xxhash64("_id"), "_id"))
-    out = sized.withColumn("_r", rank).join(cell, F.col(src).eqNullSafe(F.col("_s")) & (F.col("_c") == F.col("_k")) & (F.col("_b") == F.col("_d")))
+    plan = cut(_plan(cut(solve(hist, cap)), cap)).withColumnsRenamed({"source": "_source", "c": "_c"})
+    within = Window.partitionBy("_source", "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    first = cells.select("_source", "_c", "_b", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("_first"))
+    cell = first.join(plan, ["_source", "_c"])
+    key = ["_source", "_c", "_b"]
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("size", F.xxhash64("_id"), "_id"))
+    out = rows.withColumn("_r", rank).join(cell, key)  # in the partitioning of the ranks
     place = F.col("_first") + F.col("_r")
     even = lambda k: F.floor(k * F.col("extra") / F.col("n"))
     copies = (F.col("base") + even(place) - even(place - 1)).cast("long")
-    return out.select(F.col("_id").alias(doc_id), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    return out.select(F.col("_id").alias(doc_id), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["_row"] if row else []))
+
+
+def repeat_rows(docs: DataFrame, **options) -> DataFrame:
+    """docs with each row as often as the mix takes it; the columns stay as they are."""
+    out = mix(docs, whole_rows=True, **options)
+    rows = out.select(F.explode(F.sequence(F.lit(1), F.when(F.col("copies") > 0, F.col("copies")).cast("int"))), F.col("_row.*"))
+    return rows.select(*docs.columns)

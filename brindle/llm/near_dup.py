@@ -31,8 +31,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from brindle.llm.session import cut
+from brindle.llm.session import cut, free_name
 from brindle.llm.text_kernels import SPACED, Words, mix, slices, windows
 
 ROWS, BANDS = 4, 32
@@ -264,3 +265,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     component = F.when((F.col("n") > 0) & F.col("_n"), F.col("component_id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(False)))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the rows whose group has a smaller id; of rows equal in id and text one stays, rows without an id all stay."""
+    gone = near_duplicates(docs, doc_id, text, shingle, percent).where(~F.col("kept") & F.col(doc_id).isNotNull()).select(doc_id).distinct()
+    left, mark = docs.join(gone, doc_id, "left_anti"), free_name(docs, "_copy")
+    copy = F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(F.col(text))).orderBy(doc_id))
+    return left.withColumn(mark, copy).where((F.col(mark) == 1) | F.col(doc_id).isNull()).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat_format, decontaminate, line_frequency, mixing, near_dup, rule_classifier, sharding, token_count, url_filter
+from brindle.llm import chat_format, decontaminate, html_extract, line_frequency, mixing, near_dup, rule_classifier, sharding, token_count, url_filter
 from brindle.llm.session import table
 
 N_SHARDS = 16
@@ -47,6 +47,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_frequency.apply_rules(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed")

@@ -1,24 +1,56 @@
-"""The training-data pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The training-data pipeline: stages over documents, each written as Parquet and read again as the next one's input.
+
+1.  quality classifier: documents that the rule ensemble rejects go.
+2.  near-dedup: of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays.
+3.  decontamination: documents that share ten words in a row, or a whole shorter item, with the benchmark go.
+4.  mixing: each document is repeated by its number of copies in the mix, which may be none.
+5.  sharding: each row of the mix gets its shard and slot.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import sharding
+from brindle.llm import decontaminate, mixing, near_dup, rule_classifier, sharding
 from brindle.llm.queries import N_SHARDS
 from brindle.llm.session import stage_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = rule_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return rule_classifier.classify(docs, model, docs.columns).where("predicted = 1").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), docs.columns)
+    return found.where(F.size("hit_words") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.repeat_rows(docs)
+
+
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, N_SHARDS)
 
 
-STAGES: list[tuple[str, Stage]] = [("sharding", shard)]
-#: Learned and iterative stages can't be said in SQL; tests hold the rows against a brute-force version.
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", keep_quality),
+    ("near-dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+#: A fitted model and a randomised search can't be said in SQL; tests hold the rows against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
