@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brindle.llm import decontaminate
 from brindle.llm import line_frequency as lines
 from brindle.llm.queries import LISTED_DOMAINS, PROBE_TEXT, RULES
 
@@ -66,5 +67,48 @@ select conv_id, count(*)::bigint as n_turns,
 from e group by conv_id"""
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def decontamination() -> str:
+    n = decontaminate.SPAN
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    text = _LOWER.format("coalesce(text, '')")
+    return rf"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all({text}, '{word}') as w from documents),
+b as (select item_id, regexp_extract_all({text}, '{word}') as w from benchmark),
+items as (select item_id, least(len(w), {n}) as k, w, unnest(range(1, len(w) - least(len(w), {n}) + 2)) as i from b where len(w) > 0),
+win as (select distinct item_id, k, array_to_string(w[i : i + k - 1], ' ') as t from items),
+spot as (select r, k, w, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from win) where len(w) >= k),
+hit as (select r, i, p.k, item_id from (select r, i, k, array_to_string(w[i : i + k - 1], ' ') as t from spot) p join win on p.k = win.k and p.t = win.t),
+words as (select r, count(distinct p) as n from (select r, unnest(range(i, i + k)) as p from hit) group by r),
+ids as (select r, count(*) as n, string_agg(i, ',' order by i) as ids from (select distinct r, item_id::varchar as i from hit) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(words.n, 0)::bigint as n_hit, coalesce(ids.n, 0)::bigint as n_items,
+    sha256(coalesce(ids, '')) as items_sha256, coalesce(words.n, 0) > 0 as contaminated
+from d left join words using (r) left join ids using (r)"""
+
+
+def near_dedup() -> str:
+    text = _LOWER.format("coalesce(text, '')")
+    return rf"""
+with recursive d as (select doc_id, regexp_extract_all({text}, '{WORD}') as w from documents),
+s as (select distinct doc_id, x from (
+    select doc_id, array_to_string(w[i : i + 2], ' ') as x from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d where len(w) >= 3)
+    union all select doc_id, len(w) || ':' || array_to_string(w, ' ') from d where len(w) between 1 and 2)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+met as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+link as (select a, b from met join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+edge as (select a, b from link union all select b, a from link),
+reach as (select doc_id as a, doc_id as b from d union select reach.a, edge.b from reach join edge on reach.b = edge.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(reach.b) as component_id, min(reach.b) = d.doc_id as kept
+from d left join n using (doc_id) join reach on reach.a = d.doc_id group by d.doc_id, n.n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": quality_rules(), "op8_url_filter": url_filter(), "op9_chat_format": chat_format()}
+    return {
+        "op1_decontamination": decontamination(),
+        "op6_quality_rules": quality_rules(),
+        "op7_near_dedup": near_dedup(),
+        "op8_url_filter": url_filter(),
+        "op9_chat_format": chat_format(),
+    }
