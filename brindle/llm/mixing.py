@@ -126,7 +126,8 @@ def _plan(solved: DataFrame, cap: int) -> DataFrame:
         rate = rates(mean, F.col("mean"), F.col("lam"), cap)
         base = F.least(F.floor(rate), F.lit(cap)).cast("int")
         want = e["m"] * rate + s["carry"] - base * e["m"]
-        extra = F.when(mean > 0, F.greatest(F.lit(0), F.least(F.when(base < cap, e["n"]).otherwise(F.lit(0).cast("long")), F.round(want / mean).cast("long")))).otherwise(F.lit(0).cast("long"))
+        room = e["n"] * (F.lit(cap).cast("long") - base)
+        extra = F.when(mean > 0, F.greatest(F.lit(0), F.least(room, F.round(want / mean).cast("long")))).otherwise(F.lit(0).cast("long"))
         done = F.struct(e["c"].alias("c"), e["n"].alias("n"), base.alias("base"), extra.cast("long").alias("extra"))
         return F.struct((want - extra * mean).alias("carry"), F.concat(s["plan"], F.array(done)).alias("plan"))
 
