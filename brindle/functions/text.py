@@ -136,14 +136,16 @@ def symbol_matches(symbol: Column, haystack: Column) -> Column:
     return F.when(F.contains(symbol, F.lit("/")), F.contains(hay, s)).otherwise(F.regexp_like(hay, bounded))
 
 
-def redact(text: Column) -> Column:
-    return reduce(lambda c, rule: F.regexp_replace(c, rule[1], rule[2]), REDACTIONS, F.coalesce(text, F.lit("")))
+def redact(text: Column, leave: tuple[str, ...] = ()) -> Column:
+    """The text with each rule's finds replaced; rules named in leave are left out."""
+    rules = [r for r in REDACTIONS if r[0] not in leave]
+    return reduce(lambda c, rule: F.regexp_replace(c, rule[1], rule[2]), rules, F.coalesce(text, F.lit("")))
 
 
-def redaction_counts(text: Column) -> Column:
+def redaction_counts(text: Column, leave: tuple[str, ...] = ()) -> Column:
     """array<struct<type, count>> of what `redact` takes out, rule by rule."""
     at, out = F.coalesce(text, F.lit("")), []
-    for kind, pattern, put in REDACTIONS:
+    for kind, pattern, put in (r for r in REDACTIONS if r[0] not in leave):
         out.append(F.struct(F.lit(kind).alias("type"), F.regexp_count(at, F.lit(pattern)).alias("count")))
         at = F.regexp_replace(at, pattern, put)
     return F.filter(F.array(*out), lambda x: x["count"] > 0)
