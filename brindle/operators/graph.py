@@ -22,10 +22,10 @@ SIGNALS = (
 
 def signals(records: DataFrame, text: str = "text") -> DataFrame:
     """records with one row for each citation, statute, rule and docket in the text: kind, key."""
-    found = [
-        F.transform(F.regexp_extract_all(F.col(text), F.lit(p), F.lit(g)), lambda m, kind=kind: F.struct(F.lit(kind).alias("kind"), m.alias("key")))
-        for kind, p, g in SIGNALS
-    ]
+    def of(kind: str, pattern: str, group: int) -> Column:
+        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)), lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("key")))
+
+    found = [of(*s) for s in SIGNALS]
     rows = records.withColumn("_s", F.explode(F.flatten(F.array(*found))))
     key = F.when(F.col("_s.kind") == "case_citation", tx.case_name(F.col("_s.key"))).when(F.col("_s.kind") == "docket", tx.digits(F.col("_s.key"))).otherwise(tx.section_number(F.col("_s.key")))
     return rows.withColumn("kind", F.col("_s.kind")).withColumn("key", key).drop("_s")
@@ -33,7 +33,7 @@ def signals(records: DataFrame, text: str = "text") -> DataFrame:
 
 def merge_nodes(nodes: DataFrame, order: str) -> DataFrame:
     """One node an id: the first row's type and label, properties of which later rows win by key (G1, U4); `section` stays."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "type", "label", "properties")))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "type", "label", "properties")), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0))
     out = nodes.groupBy("id").agg(rows.alias("r"))
     kind = F.when(F.exists("r", lambda x: x["type"] == "section"), F.lit("section")).otherwise(F.get("r", 0)["type"])
     entries = F.flatten(F.transform("r", lambda x: F.map_entries(x["properties"])))
