@@ -17,7 +17,7 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def markdown_folder(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
     """(path, title, text) of all files below root (S2): the title is the first heading, else the file's stem."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    rows = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(root, wholetext=True)
     rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
     return rows.withColumn("title", F.coalesce(F.nullif(F.trim(F.regexp_extract("text", r"(?m)^#\s+(.+)$", 1)), F.lit("")), stem))
