@@ -8,10 +8,13 @@ a bin with the sets' similarity as probability, and the number of agreeing bins
 1.  One pass over the texts makes each row's sketch and its set's 128-bit digest. Rows of one digest are one set from here on.
 2.  BANDS bands of ROWS bins: sets that agree in a band share a bucket. In each bucket the sets are paired with its pivot only,
     pairs whose sizes or sketches rule the threshold out go, and the rest are verified on the full sets.
-3.  Buckets whose sets are still in several components hold pairs that no pivot has settled. Their sets are compared by sketch,
-    block against block of at most BLOCK sets and only across components, and what passes is verified in full. So no bucket is
-    capped, no group is ever in one task, and no list of all pairs is made.
-4.  Components of the verified links; a row's component is the smallest id in it.
+3.  Pairs that no pivot has settled are mostly inside families, the components of the pairs that the sketches left. A family
+    whose sets aren't yet one component is compared on the full sets, block against block of about BLOCK sets: a matrix product
+    over the blocks' shingles gives all intersections at once, and only a spanning tree of the links leaves the task. Blocks of
+    one component aren't compared with each other, so a family of copies that is one component already costs nothing.
+4.  Buckets that hold several families are compared across these by sketch, again block by block, and what passes is verified
+    in full. So no bucket is capped, no group is ever in one task, and no list of all pairs is made.
+5.  Components of the verified links; a row's component is the smallest id in it.
 
 At the threshold 0.85 a link shares no bucket with probability (1 - 0.85^4)^32 = 6e-11, and the sketch filter (SLACK standard
 deviations below the threshold) drops one with probability below 1e-8; links are never made without the full sets.
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.session import cut, free_name
+from brindle.llm.session import cut, fitted, free_name
 from brindle.llm.text_kernels import SPACED, Words, mix, slices, windows
 
 ROWS, BANDS = 4, 32
@@ -128,7 +131,8 @@ def _set_table(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, k: in
 
     n, d = needed.alias("n"), docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).alias("d")
     rows = d.join(n, F.col("d.id").eqNullSafe(F.col("n.id"))).select("n.g", "d.text")
-    return rows.mapInArrow(run, "g bigint, items binary").dropDuplicates(["g"])
+    tasks = max(1, -(-needed.count() // TEXTS_PER_TASK))
+    return rows.coalesce(tasks).mapInArrow(run, "g bigint, items binary").dropDuplicates(["g"]).coalesce(tasks)
 
 
 def _size_ok(a: Column, b: Column, percent: int) -> Column:
@@ -167,7 +171,10 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.select([0, 1]).filter(pa.array(same >= least))
 
     left, right = sets.select(F.col("g").alias("a"), F.col("bands").alias("x")), sets.select(F.col("g").alias("b"), F.col("bands").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    pairs = fitted(cut(pairs), PAIRS_PER_TASK)
+    tasks = max(1, -(-pairs.count() // SETS_PER_TASK))
+    found = pairs.join(left, "a").coalesce(tasks).join(right, "b").select("a", "b", "x", "y").coalesce(tasks)
+    return fitted(cut(found.mapInArrow(run, "a bigint, b bigint")), PAIRS_PER_TASK)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
@@ -182,22 +189,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, t
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
+    tasks = max(1, -(-pairs.count() // TEXTS_PER_TASK))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct()
-    needed = sets.join(ids, "g", "left_semi").select("g", "id")
+    needed = fitted(cut(sets.join(ids, "g", "left_semi").select("g", "id")), PAIRS_PER_TASK)
     full = cut(_set_table(docs, needed, doc_id, text, k))
     left, right = full.select(F.col("g").alias("a"), F.col("items").alias("x")), full.select(F.col("g").alias("b"), F.col("items").alias("y"))
-    return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+    found = pairs.join(left, "a").coalesce(tasks).join(right, "b").select("a", "b", "x", "y").coalesce(tasks)
+    return fitted(cut(found.mapInArrow(run, "a bigint, b bigint")), PAIRS_PER_TASK)
+
+
+#: Rows of pairs and of sets that make a task; tables of either are kept in as many partitions as that takes.
+PAIRS_PER_TASK, SETS_PER_TASK, TEXTS_PER_TASK = 100_000, 10_000, 2_000
 
 
 def components(links: DataFrame) -> DataFrame:
     """(g, c): for each end of a link (a, b) the smallest end that it reaches, by least labels and jumps over them."""
-    edges = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
-    label = cut(edges.groupBy(F.col("a").alias("g")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    edges = fitted(cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()), PAIRS_PER_TASK)
+    tasks = edges.rdd.getNumPartitions()
+    label = cut(edges.groupBy(F.col("a").alias("g")).agg(F.least(F.min("b"), F.first("a")).alias("c")).coalesce(tasks))
     while True:
-        near = edges.join(label.select(F.col("g").alias("b"), F.col("c").alias("d")), "b").groupBy(F.col("a").alias("g")).agg(F.min("d").alias("d"))
+        near = edges.join(label.select(F.col("g").alias("b"), F.col("c").alias("d")), "b").coalesce(tasks).groupBy(F.col("a").alias("g")).agg(F.min("d").alias("d"))
         step = label.join(near, "g").select("g", F.least("c", "d").alias("c"), F.col("c").alias("was"))
+        step = cut(step.coalesce(tasks))
         jump = step.select(F.col("g").alias("c"), F.col("c").alias("e"))
-        new = cut(step.join(jump, "c", "left").select("g", F.least("c", F.coalesce("e", "c")).alias("c"), "was"))
+        new = cut(step.join(jump, "c", "left").select("g", F.least("c", F.coalesce("e", "c")).alias("c"), "was").coalesce(tasks))
         label = new.select("g", "c")
         if not new.where("c <> was").limit(1).count():
             return label
@@ -216,8 +231,85 @@ def _pivot_pairs(sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("g", "p").alias("a"), F.greatest("g", "p").alias("b")).distinct()
 
 
+def _family_links(sets: DataFrame, family: DataFrame, label: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+    """(a, b): a spanning tree of the links inside each family (g, c) that isn't one component yet."""
+    own = family.select("g", F.col("c").alias("s")).join(label, "g", "left").withColumn("c", F.coalesce("c", "g"))
+    parts = own.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"))
+    small = F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))).alias("rest")
+    open_ = parts.groupBy("s").agg(F.count(F.lit(1)).alias("parts"), small).where("parts > 1").select("s", "rest")
+    parts = fitted(cut(parts.join(open_, "s")), PAIRS_PER_TASK)
+    # Large components have blocks of their own, the others share some; sets of one component keep together.
+    spread = lambda c, n: F.pmod(F.xxhash64(c), F.greatest(F.lit(1), F.ceil(n / BLOCK))).cast("string")
+    block = F.when(F.col("m") > BLOCK, F.concat_ws(":", F.lit("own"), "c", spread("g", F.col("m")))).otherwise(F.concat_ws(":", F.lit("mixed"), spread("c", F.col("rest"))))
+    members = fitted(cut(own.join(parts, ["s", "c"]).select("g", "s", "c", block.alias("block"), F.when(F.col("m") > BLOCK, F.col("c")).alias("pure"))), PAIRS_PER_TASK)
+    blocks = members.groupBy("s", "block").agg(F.first("pure").alias("pure"))  # a row for some BLOCK sets
+    x, y = (blocks.select("s", F.col("block").alias(n), F.col("pure").alias(f"p{n}")) for n in "xy")
+    met = fitted(cut(x.join(y, "s").where("x <= y and not (px is not null and px <=> py)").select("s", "x", "y")), PAIRS_PER_TASK)
+    left = members.join(met.withColumn("block", F.col("x")), ["s", "block"]).select("g", "c", "s", "x", "y", F.lit(0).alias("side"))
+    right = members.join(met.where("x <> y").withColumn("block", F.col("y")), ["s", "block"]).select("g", "c", "s", "x", "y", F.lit(1).alias("side"))
+    needed = fitted(cut(sets.join(members.select("g"), "g", "left_semi").select("g", "id")), PAIRS_PER_TASK)
+    full = cut(_set_table(docs, needed, doc_id, text, k))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        first = group["side"].to_numpy() == 0
+        a, b = group[first], group[~first]
+        a, b = (a, a if not len(b) and group["x"].iloc[0] == group["y"].iloc[0] else b)
+        return _spanning(a, b, percent)
+
+    rows = cut(left.unionByName(right))
+    rows = rows.coalesce(max(1, -(-rows.count() // TEXTS_PER_TASK))).join(full, "g")
+    return rows.groupBy("s", "x", "y").applyInPandas(compare, "a bigint, b bigint")
+
+
+#: Different shingles that enter one matrix product.
+_COLUMNS = 4096
+
+
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a with all of b, by products over the shingles that occur on both sides."""
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    fa, fb = np.concatenate([*a, np.zeros(0, np.uint64)]), np.concatenate([*b, np.zeros(0, np.uint64)])
+    both = np.intersect1d(fa, fb)
+    ra, rb = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)
+    ca, cb = np.searchsorted(both, fa), np.searchsorted(both, fb)
+    ia, ib = (c < len(both) for c in (ca, cb))
+    ia[ia] = both[ca[ia]] == fa[ia]
+    ib[ib] = both[cb[ib]] == fb[ib]
+    ra, ca, rb, cb = ra[ia], ca[ia], rb[ib], cb[ib]
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    for at in range(0, len(both), _COLUMNS):
+        m, n = np.zeros((len(a), _COLUMNS), np.float32), np.zeros((len(b), _COLUMNS), np.float32)
+        for mat, r, c in ((m, ra, ca), (n, rb, cb)):
+            own = (c >= at) & (c < at + _COLUMNS)
+            mat[r[own], c[own] - at] = 1
+        out += m @ n.T
+    return out
+
+
+def _spanning(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Edges (a, b) that connect what links between the sets of a and those of b, of different components, connect."""
+    if not len(a) or not len(b):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    sa, sb = ([np.frombuffer(x, np.uint64) for x in f["items"]] for f in (a, b))
+    both = _intersections(sa, sb).astype(np.int64)
+    na, nb = np.array([len(x) for x in sa])[:, None], np.array([len(x) for x in sb])[None, :]
+    linked = (100 * both >= percent * (na + nb - both)) & (a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None, :])
+    ga, gb = a["g"].to_numpy(), b["g"].to_numpy()
+    top = np.iinfo(np.int64).max
+    la, lb = ga.copy(), gb.copy()
+    while True:  # least labels over the links, each step a row of minima
+        na_ = np.minimum(la, np.where(linked, lb[None, :], top).min(axis=1))
+        nb_ = np.minimum(lb, np.where(linked, na_[:, None], top).min(axis=0))
+        if (na_ == la).all() and (nb_ == lb).all():
+            break
+        la, lb = na_, nb_
+    g, l = np.concatenate([ga, gb]), np.concatenate([la, lb])
+    own = g != l
+    return pd.DataFrame({"a": l[own], "b": g[own]}).drop_duplicates()
+
+
 def _unsettled_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of one bucket in different components that no pivot has met and the sketches don't rule out."""
+    """(a, b): pairs of one bucket in different families that no pivot has met and the sketches don't rule out."""
     least = _least_agreeing(percent)
     known = sets.join(label, "g", "left").withColumn("c", F.coalesce("c", "g"))
     rows = known.select("g", "n", "c", F.posexplode("bands").alias("pos", "band"))
@@ -229,7 +321,7 @@ def _unsettled_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFra
     # A block meets each other block once: the pair is named by both numbers.
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y")))
     spread = inside.withColumn("own", own).withColumn("met", F.explode(met)).select("g", "n", "c", "pos", "band", "own", "met.x", "met.y")
-    spread = spread.join(sets.select("g", "bands"), "g")
+    spread = fitted(cut(spread), SETS_PER_TASK).join(sets.select("g", "bands"), "g")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         x, y = group["x"].iloc[0], group["y"].iloc[0]
@@ -250,14 +342,16 @@ def _unsettled_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFra
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each of docs; sets are linked from percent / 100 similarity on."""
     rows = cut(sketch_table(docs, doc_id, text, shingle))
-    sets = cut(rows.where("n > 0").groupBy("g", "g2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")).drop("g2"))
-    check = lambda pairs: _verified(cut(_likely(pairs, sets, percent)), sets, docs, doc_id, text, shingle, percent)
-    links = check(_pivot_pairs(sets, percent))
-    label = components(links)
-    more = cut(_unsettled_pairs(sets, label, percent))
-    if more.limit(1).count():
-        links = cut(links.union(check(more)))
-        label = components(links)
+    sets = rows.where("n > 0").groupBy("g", "g2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")).drop("g2")
+    sets = fitted(cut(sets), SETS_PER_TASK)
+    check = lambda pairs: _verified(pairs, sets, docs, doc_id, text, shingle, percent)
+    likely = _likely(_pivot_pairs(sets, percent), sets, percent)
+    links = check(likely)
+    family, label = components(likely), components(links)
+    inside = fitted(cut(_family_links(sets, family, label, docs, doc_id, text, shingle, percent)), PAIRS_PER_TASK)
+    across = _likely(_unsettled_pairs(sets, family, percent), sets, percent)
+    if inside.union(across).limit(1).count():
+        label = components(links.union(inside).union(check(across)))
     named = sets.select("g", "id").join(label, "g", "left").withColumn("c", F.coalesce("c", "g"))
     least = named.groupBy("c").agg(F.min("id").alias("component_id"))
     by_set = named.join(least, "c").select("g", "component_id")

@@ -30,6 +30,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fitted(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """A checkpointed table in as many partitions as its rows need; a small one shouldn't cost a file for each shuffle partition."""
+    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that the table doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}
