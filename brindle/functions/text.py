@@ -109,9 +109,12 @@ def legal_effective_query(q: Column) -> Column:
     return F.when(short == "", base).otherwise(short)
 
 
+#: A run of letters and digits that isn't a stopword, told by the expression itself rather than by a lambda over all tokens.
+TOKEN = rf"(?<![a-z0-9])(?!(?:{'|'.join(STOPWORDS)})(?![a-z0-9]))[a-z0-9]+"
+
+
 def rerank_tokens(text: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)")), lambda t: ~F.array_contains(stop, t))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def exact_symbols(q: Column, most: int = 32) -> Column:

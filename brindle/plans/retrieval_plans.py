@@ -58,7 +58,7 @@ b as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
 def _bm25(t: Tables, k: int) -> DataFrame:
     chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    index = rt.postings(chunks)
+    index = rt.postings(chunks).persist()
     out = rt.bm25(queries, index, rt.collection_size(index, chunks), 1 << 30)
     return rt.top_k(out.drop("rank").withColumn("score", F.round("score", 6)), k)
 
