@@ -27,6 +27,7 @@ REDACTIONS = (
     ("secret_assignment", r"(?i)\b(api[_-]?key|secret|token|password|passwd|pwd)\s*[:=]\s*['\"]?[^'\"\s,;]{6,}['\"]?", "$1=[REDACTED_SECRET]"),
 )
 
+# Filler in front of a query, a citation's mark, levels of a log from the gravest down.
 FILLER = r"(?i)^\s*(?:please\s+)?(?:can\s+you|could\s+you|would\s+you|tell\s+me|show\s+me|find|search\s+for|look\s+up)\b\s*"
 CITATION = r"【\d+†source】"
 SEVERITIES = ("FATAL", "ERROR", "WARN", "INFO", "DEBUG", "TRACE")

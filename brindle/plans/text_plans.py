@@ -339,12 +339,12 @@ def case_and_ordinance_names(t: Tables):
 
 
 @query(r"""select item_id, regexp_matches(q, '\b(cited by|citing|citations?|authorit(?:y|ies)|related (?:case|part)|same docket|overruled|precedent)\b', 'i') as intent,
-    case when contains(lower(q), 'budget') then 'fiscal' when contains(lower(q), 'cited by') then 'courts' end as lens, q || case when contains(lower(q), 'topeka') then '' else ' Topeka' end as extended
-    from (select item_id, case item_id % 3 when 0 then 'Who is cited by ' when 1 then 'Budget of Topeka ' else '' end || substr(text, 1, 20) as q from benchmark)""")
+    case when contains(lower(q), 'budget') then 'fiscal' when contains(lower(q), 'cited by') then 'courts' end as lens, q || case when contains(lower(q), 'springfield') then '' else ' Springfield' end as extended
+    from (select item_id, case item_id % 3 when 0 then 'Who is cited by ' when 1 then 'Budget of Springfield ' else '' end || substr(text, 1, 20) as q from benchmark)""")
 def graph_lenses(t: Tables):
-    q = F.concat(F.when(F.col("item_id") % 3 == 0, "Who is cited by ").when(F.col("item_id") % 3 == 1, "Budget of Topeka ").otherwise(""), F.substring("text", 1, 20))
+    q = F.concat(F.when(F.col("item_id") % 3 == 0, "Who is cited by ").when(F.col("item_id") % 3 == 1, "Budget of Springfield ").otherwise(""), F.substring("text", 1, 20))
     lens = tx.infer_lens(q, {"fiscal": ["budget"], "grants": ["grant"], "courts": ["cited by"]}, ["fiscal", "courts"])
-    return t.benchmark.select("item_id", tx.graph_intent(q).alias("intent"), lens.alias("lens"), tx.extend_query(q, [F.lit("Topeka"), F.lit(None).cast("string")]).alias("extended"))
+    return t.benchmark.select("item_id", tx.graph_intent(q).alias("intent"), lens.alias("lens"), tx.extend_query(q, [F.lit("Springfield"), F.lit(None).cast("string")]).alias("extended"))
 
 
 @query(r"""select conv_id, turn, ltrim(right(text, 200)) as tail, regexp_replace(regexp_replace(regexp_replace(text, '^[ \t]+|[ \t]+$', '', 'gm'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as compact from conversations""")
