@@ -131,8 +131,8 @@ def _set_table(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, k: in
 
     n, d = needed.alias("n"), docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).alias("d")
     rows = d.join(n, F.col("d.id").eqNullSafe(F.col("n.id"))).select("n.g", "d.text")
-    tasks = max(1, -(-needed.count() // TEXTS_PER_TASK))
-    return rows.coalesce(tasks).mapInArrow(run, "g bigint, items binary").dropDuplicates(["g"]).coalesce(tasks)
+    # In as many tasks as the texts' shuffle has, whatever is needed of them; what is left is then kept in fewer.
+    return fitted(cut(rows.mapInArrow(run, "g bigint, items binary").dropDuplicates(["g"])), TEXTS_PER_TASK)
 
 
 def _size_ok(a: Column, b: Column, percent: int) -> Column:
@@ -172,7 +172,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left, right = sets.select(F.col("g").alias("a"), F.col("bands").alias("x")), sets.select(F.col("g").alias("b"), F.col("bands").alias("y"))
     pairs = fitted(cut(pairs), PAIRS_PER_TASK)
-    tasks = max(1, -(-pairs.count() // SETS_PER_TASK))
+    tasks = max(sets.rdd.getNumPartitions(), -(-pairs.count() // SETS_PER_TASK))  # few pairs still meet all sets
     found = pairs.join(left, "a").coalesce(tasks).join(right, "b").select("a", "b", "x", "y").coalesce(tasks)
     return fitted(cut(found.mapInArrow(run, "a bigint, b bigint")), PAIRS_PER_TASK)
 
@@ -192,7 +192,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, t
     tasks = max(1, -(-pairs.count() // TEXTS_PER_TASK))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct()
     needed = fitted(cut(sets.join(ids, "g", "left_semi").select("g", "id")), PAIRS_PER_TASK)
-    full = cut(_set_table(docs, needed, doc_id, text, k))
+    full = _set_table(docs, needed, doc_id, text, k)
     left, right = full.select(F.col("g").alias("a"), F.col("items").alias("x")), full.select(F.col("g").alias("b"), F.col("items").alias("y"))
     found = pairs.join(left, "a").coalesce(tasks).join(right, "b").select("a", "b", "x", "y").coalesce(tasks)
     return fitted(cut(found.mapInArrow(run, "a bigint, b bigint")), PAIRS_PER_TASK)
@@ -248,7 +248,7 @@ def _family_links(sets: DataFrame, family: DataFrame, label: DataFrame, docs: Da
     left = members.join(met.withColumn("block", F.col("x")), ["s", "block"]).select("g", "c", "s", "x", "y", F.lit(0).alias("side"))
     right = members.join(met.where("x <> y").withColumn("block", F.col("y")), ["s", "block"]).select("g", "c", "s", "x", "y", F.lit(1).alias("side"))
     needed = fitted(cut(sets.join(members.select("g"), "g", "left_semi").select("g", "id")), PAIRS_PER_TASK)
-    full = cut(_set_table(docs, needed, doc_id, text, k))
+    full = _set_table(docs, needed, doc_id, text, k)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         first = group["side"].to_numpy() == 0
