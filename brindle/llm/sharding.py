@@ -4,7 +4,9 @@ Documents of equal texts are linked. Each document begins in a shard that its id
 by round, every linked document looks where most of its group is and asks to go there; a move is granted only against a move
 the other way, so the counts never change: first documents that want to swap, then unlinked ones, to which every shard is the
 same. What is granted comes from a matrix of shards by shards, the only thing that is ever at the driver. A group larger than a
-shard fills one and goes on to the next.
+shard fills one and goes on to the next, one a round; what smaller groups hold of a shard stays theirs. Rounds go on until nobody
+moves. They end: a move takes rows of a group only to a shard that holds as many of the group at least, so the squares of all
+groups' counts by shard add up to more each round.
 
 Places (who is among the first q of a class, and a shard's gapless slots) come from counts of BUCKETS hash buckets and a row
 number inside each bucket, so no window ever holds a whole shard.
@@ -25,7 +27,6 @@ from brindle.llm.session import cut
 
 #: Parts of each class that are ranked on their own: a class of n rows takes windows of n / BUCKETS rows.
 BUCKETS = 512
-ROUNDS = 4
 
 
 def text_key(text: Column) -> Column:
@@ -72,7 +73,7 @@ def _step(label: Column, quota: dict[tuple[int, int], int], n: int, to: Column |
     return out
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 16, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, n_shards: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each of docs: doc_id, size, text_crc32, shard (0 to n_shards - 1) and slot (gapless in the shard)."""
     t = F.coalesce(F.col(text), F.lit(""))
     order = F.xxhash64(F.col(doc_id), F.lit(17))
@@ -88,10 +89,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, rounds: int = ROUNDS, doc
     linked = rows.where("_g is not null").groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_g", F.lit(True).alias("_linked"))
     rows = _numbered(rows.join(linked, "_g", "left"), "_all", "_at")
     state = cut(rows.withColumn("shard", (F.col("_at") % n_shards).cast("int")).withColumn("_linked", F.coalesce("_linked", F.lit(False))).drop("_all", "_at"))
-    for _ in range(rounds):
-        moved = _round(state, n_shards)
-        if moved is None:
-            break
+    while (moved := _round(state, n_shards)) is not None:
         state = moved
     return _numbered(state, "shard", "slot").select(F.col("_id").alias(doc_id), "size", "text_crc32", "shard", "slot")
 

@@ -137,6 +137,17 @@ def test_sharding_keeps_counts_even_and_groups_together(spark, docs):
     assert len(where["same"]) <= 3 and sum(len(s) > 1 for t, s in where.items() if t != "same") <= 5
 
 
+@pytest.mark.parametrize("share, most", [(3, 6), (2, 8)])
+def test_a_group_of_many_shards_fills_no_more_than_it_needs(spark, share, most):
+    rows = 1600
+    text = F.when(F.col("id") < rows // share, "same").otherwise(F.col("id").cast("string"))
+    hot = spark.range(rows).select(F.col("id").alias("doc_id"), text.alias("text"))
+    got, same = sharding.assign_shards(hot, 16).collect(), zlib.crc32(b"same")
+    count = Counter(r.shard for r in got)
+    assert sorted(count) == list(range(16)) and set(count.values()) == {rows // 16}
+    assert len({r.shard for r in got if r.text_crc32 == same}) == most
+
+
 def test_html_marginals_are_those_of_all_labellings():
     model = html_extract.default_model()
     t = html_extract.parse("<div class=ad>x<p>y</p></div><article><p>z</article>")
