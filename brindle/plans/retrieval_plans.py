@@ -379,7 +379,7 @@ def generation_differences(t: Tables):
 
 @query()
 def decision_graph(t: Tables):
-    o = t.orders.where("o_orderkey <= 60").select(
+    o = t.orders.select(
         F.col("o_orderkey").alias("document_id"), F.concat(F.lit("State v. Doe"), F.col("o_custkey").cast("string")).alias("title"), (F.col("o_orderkey") + 100000).alias("docket_number"), F.lit("Supreme Court").alias("court"),
         F.year("o_orderdate").alias("decision_year"), F.lit("Published").alias("status"), F.concat(F.lit("See State v. Roe, 12 Kan. 5. Under K.S.A. 21-"), F.col("o_custkey").cast("string"), F.lit(" and Rule 183, No. 99,123.")).alias("text"),
     )

@@ -55,6 +55,14 @@ def test_every_sql_belongs_to_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
+def test_decision_graph_is_built_from_every_order(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", F.year("o_orderdate")).collect()
+    years, customers = {r[2] for r in orders}, {r.o_custkey for r in orders}
+    got = Counter(r.kind for r in catalog.queries()["decision_graph"](spark, sf).collect())
+    assert got["opinion"] == got["docket"] - 1 == got["HAS_DOCKET"] == got["HAS_YEAR"] == got["CITES_STATUTE"] == len(orders)
+    assert got["year"] == len(years) and got["statute"] == len(customers)
+
+
 def test_flagship(spark, sf):
     rows = catalog.flagship(spark, sf).collect()
     assert len(rows) == 400 and max(r["rank"] for r in rows) == 10
