@@ -8,7 +8,8 @@ reported that isn't there. An item of fewer words than SPAN is one span of its o
 The benchmark goes to the workers as a broadcast of at most BLOCK_BYTES of text; a larger one is taken in blocks of that size, a
 pass over the documents for each, whose findings are added up. Documents aren't shuffled, and a document is judged whole.
 
-Cases: a null text has no words and no hits; null or empty items have no windows; equal windows of several items count for each
+Cases: a null text has no words and no hits; null or empty texts of items have no windows; a null
+item id is an item like others, a null at the end of `items`, which the digest of the ids leaves out; equal windows of several items count for each
 of them; equal items (rows of one id) count once; repeated documents are judged alike, one row each; overlapping hits count a
 word once; columns named like a result are replaced; an empty benchmark hits nothing.
 """
@@ -33,6 +34,10 @@ BLOCK_BYTES = 16 << 20
 _BLOOM_BITS = 20
 
 
+def _ordered(ids: set[str | None]) -> list[str | None]:
+    return sorted(ids, key=lambda i: (i is None, i))
+
+
 def _gram(span: int) -> int:
     """Words of a k-gram, so that a span holds several."""
     return (span + 1) // 2
@@ -57,10 +62,10 @@ def _fingerprints(w: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Windows of benchmark items: by length their fingerprints, and by hash their words and items."""
 
-    def __init__(self, items: list[tuple[str, str]], span: int):
+    def __init__(self, items: list[tuple[str | None, str]], span: int):
         self.lengths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        self.spans: dict[int, dict[int, list[tuple[bytes, list[str]]]]] = {}
-        found: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
+        self.spans: dict[int, dict[int, list[tuple[bytes, list[str | None]]]]] = {}
+        found: dict[int, dict[bytes, set[str | None]]] = defaultdict(lambda: defaultdict(set))
         prints: dict[int, list[np.ndarray]] = defaultdict(list)
         hashes: dict[int, dict[bytes, int]] = defaultdict(dict)
         names = [i for i, _ in items]
@@ -81,15 +86,15 @@ class Index:
             bloom = np.zeros(1 << _BLOOM_BITS, dtype=bool)
             bloom[(table & np.uint64((1 << _BLOOM_BITS) - 1)).astype(np.int64)] = True
             self.lengths[length] = (table, bloom)
-            by_hash: dict[int, list[tuple[bytes, list[str]]]] = defaultdict(list)
+            by_hash: dict[int, list[tuple[bytes, list[str | None]]]] = defaultdict(list)
             for text, ids in texts.items():
-                by_hash[hashes[length][text]].append((text, sorted(ids)))
+                by_hash[hashes[length][text]].append((text, _ordered(ids)))
             self.spans[length] = dict(by_hash)
 
-    def hits(self, w: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
+    def hits(self, w: Words) -> tuple[np.ndarray, dict[int, set[str | None]]]:
         """Which words of w are hit, and the items found in each row."""
         hit = np.zeros(len(w.hash) + 1, dtype=np.int32)
-        items: dict[int, set[str]] = defaultdict(set)
+        items: dict[int, set[str | None]] = defaultdict(set)
         for length, (table, bloom) in self.lengths.items():
             at, least = _fingerprints(w, length)
             maybe = np.flatnonzero(bloom[(least & np.uint64((1 << _BLOOM_BITS) - 1)).astype(np.int64)])
@@ -109,9 +114,9 @@ class Index:
         return np.cumsum(hit[:-1]) > 0, items
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str, str]]]:
+def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
     """Items in blocks of at most `limit` bytes of text (one item at least); the driver holds a block at a time."""
-    rows = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("string"), F.col(text).cast("string"))
+    rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("string"), F.col(text).cast("string"))
     block, size = [], 0
     for i, t in rows.toLocalIterator():
         n = len(t.encode())
@@ -159,7 +164,7 @@ def _one_pass(df: DataFrame, sent: list[str], keep: list[str], text: str, index:
                 for r in np.unique(w.row[hit]).tolist():
                     mine = np.flatnonzero(hit[w.first[r] : w.first[r + 1]]).tolist()
                     words[r] = sorted({*words[r], *mine})
-                    ids[r] = sorted({*ids[r], *items[r]})
+                    ids[r] = _ordered({*ids[r], *items[r]})
                 cols = [b.column(c).slice(i, j - i) for c in places]
                 cols += [pa.array(w.counts.astype(np.int64)), pa.array(words, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names)

@@ -66,6 +66,26 @@ def test_decontamination_in_one_pass_and_in_blocks(spark, docs):
     assert whole.count() == docs.count() and whole.where(F.size("hit_words") > 0).count() == 0
 
 
+def test_an_item_without_an_id_marks_its_words_as_its_sql_does(spark, tmp_path):
+    import duckdb
+
+    from brindle.llm import oracles
+
+    text = " ".join(words(30, 41))
+    rows = [(1, f"x y {text} z"), (2, "none of it"), (3, f"{text} and three")]
+    items = [(None, text), (None, "three"), (7, "three"), (8, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(d := str(tmp_path / "d"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(b := str(tmp_path / "b"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{d}/*.parquet')")
+    con.execute(f"create view benchmark as select * from read_parquet('{b}/*.parquet')")
+    for size in (1 << 20, 40):
+        got = decontaminate.digests(decontaminate.decontaminate(spark.read.parquet(d), spark.read.parquet(b), ["doc_id"], block_bytes=size))
+        want = con.execute(f"select {', '.join(got.columns)} from ({oracles.decontamination()})").fetchall()
+        assert Counter(map(tuple, got.collect())) == Counter(want)
+        assert {r.doc_id: (r.n_hit, r.n_items) for r in got.collect()} == {1: (30, 1), 2: (0, 0), 3: (31, 2)}
+
+
 def test_mixing_meets_targets_and_caps(spark, docs, sf):
     for table in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
         got = mixing.mix(table).collect()
