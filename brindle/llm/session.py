@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,17 +25,59 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage in the shared folder of spark.checkpoint.dir; a folder of our own only where none is set (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. A local session without one gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint()
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="ckpt"))
+    return sc.getCheckpointDir()
+
+
+def remove_folder(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def new_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+#: Folders of the tables that `cut` has written and nobody has removed yet.
+_TABLES: list[str] = []
 
 
-def fitted(df: DataFrame, rows_per_task: int) -> DataFrame:
-    """A checkpointed table in as many partitions as its rows need; a small one shouldn't cost a file for each shuffle partition."""
-    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
+def cut(df: DataFrame) -> DataFrame:
+    """Ends the lineage by a table in the shared folder: written in one pass over df, where checkpoint() takes two, and read back.
+
+    What reads it survives the loss of executors. The table stays until `tables_removed` ends around the call, or Python does.
+    """
+    spark, at = df.sparkSession, new_folder(df.sparkSession)
+    if not _TABLES:
+        atexit.register(_forget, spark, 0)
+    _TABLES.append(at)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _forget(spark: SparkSession, first: int) -> None:
+    while len(_TABLES) > first:
+        try:
+            remove_folder(spark, _TABLES.pop())
+        except Exception:  # noqa: BLE001  (at exit the session may have ended before; what is left goes with the shared folder)
+            pass
+
+
+@contextmanager
+def tables_removed(spark: SparkSession) -> Iterator[None]:
+    """Around work whose result is stored for good: tables cut inside it are removed at its end."""
+    first = len(_TABLES)
+    try:
+        yield
+    finally:
+        _forget(spark, first)
 
 
 def free_name(df: DataFrame, stem: str) -> str:
@@ -43,9 +88,6 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def stage_folder(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder, for tables that stages write."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="ckpt"))
-    return f"{sc.getCheckpointDir()}/stages-{uuid.uuid4().hex}"
+def hidden(df: DataFrame, *stems: str) -> list[str]:
+    """A free column name for each stem."""
+    return [free_name(df, s) for s in stems]
