@@ -5,23 +5,30 @@ of the round, and an empty bin takes the smallest value it gets, values of earli
 ones; after COORDINATES rounds, round COORDINATES + j puts every element into bin j, so each bin is filled. Two sketches agree in
 a bin with the sets' similarity as probability, and the number of agreeing bins is as concentrated as with independent hashes.
 
-1.  One pass over the texts makes each row's sketch and its set's 128-bit digest. Rows of one digest are one set from here on.
+1.  One pass over the texts makes each row's sketch and its set's 128-bit digest. Rows of one digest are one set from here on,
+    under a number of its own.
 2.  BANDS bands of ROWS bins: sets that agree in a band share a bucket. In each bucket the sets are paired with its pivot only,
-    pairs whose sizes or sketches rule the threshold out go, and the rest are verified on the full sets.
-3.  Pairs that no pivot has settled are mostly inside families, the components of the pairs that the sketches left. A family
-    whose sets aren't yet one component is compared on the full sets, block against block of about BLOCK sets: a matrix product
-    over the blocks' shingles gives all intersections at once, and only a spanning tree of the links leaves the task. Blocks of
-    one component aren't compared with each other, so a family of copies that is one component already costs nothing.
-4.  Buckets that hold several families are compared across these by sketch, again block by block, and what passes is verified
-    in full. So no bucket is capped, no group is ever in one task, and no list of all pairs is made.
-5.  Components of the verified links; a row's component is the smallest id in it.
+    the set with the least number, and pairs whose sizes or sketches rule the threshold out go. Families are the components of
+    what is left.
+3.  Buckets that hold several families are compared across these by sketch, block against block.
+4.  The texts of all sets in a pair are read once more and move once; every pair is verified on its full sets, at its pivot's.
+5.  Pairs that no pivot has settled are now inside families. One that isn't yet one component is compared block against block,
+    first by sketch, and where a set has a likely partner in another component on the full sets: a product over the blocks'
+    shingles gives all intersections, and only a spanning tree of the links leaves the task. A family of copies that is one
+    component already costs nothing.
+6.  Components of the verified links; a row's component is the smallest id in it.
+
+Blocks hold about BLOCK sets and BLOCK_SHINGLES shingles at most (a larger set is one by itself), of one class of sizes, and meet
+only blocks of the classes that can reach the similarity. So no bucket is capped, no group is ever in one task, and no list of all
+pairs is made. What remains square is a family in which very many sets are likely partners and few are linked.
 
 At the threshold 0.85 a link shares no bucket with probability (1 - 0.85^4)^32 = 6e-11, and the sketch filter (SLACK standard
 deviations below the threshold) drops one with probability below 1e-8; links are never made without the full sets.
 
 Cases: a null text, or one without words, has an empty set, no links and itself as component; fewer words than a shingle are one
 shingle; a null id takes part, and its component is the smallest id of its group, null if there is none; repeated rows are
-equal sets; very long texts are taken whole; an empty table gives an empty result.
+equal sets; very long texts are taken whole; an empty table gives an empty result; other columns, of any name, pass `keep_first`
+unchanged and don't enter `near_duplicates`.
 """
 
 from __future__ import annotations
@@ -36,14 +43,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.llm.session import cut, fitted, free_name
+from brindle.llm.session import cut, hidden
 from brindle.llm.text_kernels import SPACED, Words, mix, slices, windows
 
 ROWS, BANDS = 4, 32
 COORDINATES = ROWS * BANDS
 SLACK = 6.0
-#: Sets that are compared with as many others at a time, by sketch.
-BLOCK = 512
+#: Sets of a block, and their shingles together.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 _U = np.uint64
 _ROUNDS = np.random.default_rng(7).integers(0, 2**64, 2 * COORDINATES, dtype=np.uint64)
 _FULL = _U(2**64 - 1)
@@ -97,47 +104,38 @@ def _digests(row: np.ndarray, g: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return size, both[0], both[1]
 
 
+def _row_key(id_: Column, one: Column, two: Column) -> Column:
+    """Never null, and equal for rows of equal id and text: the id (null as itself) and two hashes of the text."""
+    return F.concat_ws(":", F.coalesce(F.concat(F.lit("="), id_.cast("string")), F.lit("null")), F.hex(one), F.hex(two))
+
+
+def _text_hashes(text: Column) -> tuple[Column, Column]:
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def sketch_table(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(id, n, g, g2, bands array<bigint>): set size, digest and sketch of each row, ROWS bins to a long."""
+    """(id, h, h2, n, d, d2, bands array<bigint>): of each row the text's hashes, set size, digest and sketch, ROWS bins to a long."""
     kind = docs.schema[doc_id].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, w in slices(b.column(1), SPACED):
+            for i, j, w in slices(b.column(3), SPACED):
                 row, g = shingle_sets(w, k)
                 size, one, two = _digests(row, g, j - i)
                 flat = sketches(row, g, j - i).view(np.int64).reshape(-1)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), pa.array(flat))
-                cols = [b.column(0).slice(i, j - i), pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), bands]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n", "g", "g2", "bands"])
-
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind.simpleString()}, n bigint, g bigint, g2 bigint, bands array<bigint>")
-
+                cols = [*(b.column(c).slice(i, j - i) for c in range(3)), pa.array(size.astype(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), bands]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "h", "h2", "n", "d", "d2", "bands"])
 
-def _set_table(docs: DataFrame, needed: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(g, items): the full sorted set of each needed digest, from one row of its own: needed has g and the row's id."""
+    body = F.col(text).cast("string")
+    one, two = _text_hashes(body)
+    rows = docs.select(F.col(doc_id).alias("id"), one.alias("h"), two.alias("h2"), body.alias("text"))
+    return rows.mapInArrow(run, f"id {kind.simpleString()}, h bigint, h2 bigint, n bigint, d bigint, d2 bigint, bands array<bigint>")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, w in slices(b.column(1), SPACED):
-                row, g = shingle_sets(w, k)
-                size, one, _ = _digests(row, g, j - i)
-                ends = np.cumsum(size)
-                want = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
-                own = np.flatnonzero(one.view(np.int64) == want)  # other rows may have the same id
-                items = [g[ends[r] - size[r] : ends[r]].tobytes() for r in own]
-                yield pa.RecordBatch.from_arrays([pa.array(want[own]), pa.array(items, pa.binary())], ["g", "items"])
 
-    n, d = needed.alias("n"), docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).alias("d")
-    rows = d.join(n, F.col("d.id").eqNullSafe(F.col("n.id"))).select("n.g", "d.text")
-    # In as many tasks as the texts' shuffle has, whatever is needed of them; what is left is then kept in fewer.
-    return fitted(cut(rows.mapInArrow(run, "g bigint, items binary").dropDuplicates(["g"])), TEXTS_PER_TASK)
-
-
-def _size_ok(a: Column, b: Column, percent: int) -> Column:
-    """Sets of these sizes can reach the similarity."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _size_class(n: Column, percent: int) -> Column:
+    """Sets can reach the similarity only within one class or two neighbouring ones."""
+    return (F.floor(F.log(n) / math.log(100 / percent)) if percent < 100 else n).cast("int")
 
 
 def _least_agreeing(percent: int) -> int:
@@ -162,7 +160,7 @@ def _bins(bands: pa.Array | pd.Series) -> np.ndarray:
 
 
 def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sketches don't rule the similarity out."""
+    """Pairs (g, p) whose sizes and sketches don't rule the similarity out."""
     least = _least_agreeing(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,95 +168,146 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             same = (_bins(b.column(2)) == _bins(b.column(3))).sum(axis=1)
             yield b.select([0, 1]).filter(pa.array(same >= least))
 
-    left, right = sets.select(F.col("g").alias("a"), F.col("bands").alias("x")), sets.select(F.col("g").alias("b"), F.col("bands").alias("y"))
-    pairs = fitted(cut(pairs), PAIRS_PER_TASK)
-    tasks = max(sets.rdd.getNumPartitions(), -(-pairs.count() // SETS_PER_TASK))  # few pairs still meet all sets
-    found = pairs.join(left, "a").coalesce(tasks).join(right, "b").select("a", "b", "x", "y").coalesce(tasks)
-    return fitted(cut(found.mapInArrow(run, "a bigint, b bigint")), PAIRS_PER_TASK)
+    left, right = sets.select("g", "n", F.col("bands").alias("x")), sets.select(F.col("g").alias("p"), F.col("n").alias("m"), F.col("bands").alias("y"))
+    found = pairs.join(left, "g").join(right, "p").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    return cut(found.select("g", "p", "x", "y").mapInArrow(run, "g bigint, p bigint"))
+
 
+def _full_sets(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
+    """(g, groups, items): the full sorted set of each end of a pair, and the groups (p, s) in which it is verified.
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= percent * union on the full sets."""
+    A group is a pivot and a bounded part of its partners. The texts are joined by row, so each needed one moves once.
+    """
+    pivots = pairs.join(sets.select("g", "n"), "g").groupBy("p").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("k"))
+    pivots = cut(pivots)
+    parts = pairs.join(pivots, "p").select("g", "p", F.pmod(F.xxhash64("g"), "k").cast("int").alias("s"))
+    own = pivots.select(F.col("p").alias("g"), "p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"))
+    groups = parts.unionByName(own).groupBy("g").agg(F.collect_list(F.struct("p", "s")).alias("groups"))
+    needed = groups.join(sets.select("g", "id", "h", "h2"), "g").select(_row_key(F.col("id"), F.col("h"), F.col("h2")).alias("key"), "g", "groups")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            for i, j, w in slices(b.column(2), SPACED):
+                row, g = shingle_sets(w, k)
+                ends = np.searchsorted(row, np.arange(1, j - i + 1)).tolist()
+                items = [g[a:z].tobytes() for a, z in zip([0, *ends], ends)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(items, pa.binary())], ["g", "groups", "items"])
+
+    body = F.col(text).cast("string")
+    rows = docs.select(_row_key(F.col(doc_id), *_text_hashes(body)).alias("key"), body.alias("text")).join(needed, "key")
+    once = rows.groupBy("key").agg(*[F.first(c).alias(c) for c in ("g", "groups", "text")]).drop("key")  # rows equal in id and text
+    return cut(once.mapInArrow(run, "g bigint, groups array<struct<p: bigint, s: int>>, items binary"))
+
 
-    tasks = max(1, -(-pairs.count() // TEXTS_PER_TASK))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct()
-    needed = fitted(cut(sets.join(ids, "g", "left_semi").select("g", "id")), PAIRS_PER_TASK)
-    full = _set_table(docs, needed, doc_id, text, k)
-    left, right = full.select(F.col("g").alias("a"), F.col("items").alias("x")), full.select(F.col("g").alias("b"), F.col("items").alias("y"))
-    found = pairs.join(left, "a").coalesce(tasks).join(right, "b").select("a", "b", "x", "y").coalesce(tasks)
-    return fitted(cut(found.mapInArrow(run, "a bigint, b bigint")), PAIRS_PER_TASK)
+def _verified(full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the pairs of pivots and partners with 100 * intersection >= percent * union on the full sets."""
 
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        p = group["p"].iloc[0]
+        sets = {g: np.frombuffer(x, np.uint64) for g, x in zip(group["g"], group["items"])}
+        hub, linked = sets.pop(p), []
+        for g, x in sets.items():
+            both = np.count_nonzero(hub[np.minimum(np.searchsorted(hub, x), len(hub) - 1)] == x)
+            if 100 * both >= percent * (len(hub) + len(x) - both):
+                linked.append(g)
+        return pd.DataFrame({"a": linked, "b": p}, dtype="int64")
 
-#: Rows of pairs and of sets that make a task; tables of either are kept in as many partitions as that takes.
-PAIRS_PER_TASK, SETS_PER_TASK, TEXTS_PER_TASK = 100_000, 10_000, 2_000
+    rows = full.select("g", "items", F.explode("groups").alias("q")).select("q.p", "q.s", "g", "items")
+    return cut(rows.groupBy("p", "s").applyInPandas(compare, "a bigint, b bigint"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(g, c): for each end of a link (a, b) the smallest end that it reaches, by least labels and jumps over them."""
-    edges = fitted(cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct()), PAIRS_PER_TASK)
-    tasks = edges.rdd.getNumPartitions()
-    label = cut(edges.groupBy(F.col("a").alias("g")).agg(F.least(F.min("b"), F.first("a")).alias("c")).coalesce(tasks))
+    edges = cut(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    label = cut(edges.groupBy(F.col("a").alias("g")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
     while True:
-        near = edges.join(label.select(F.col("g").alias("b"), F.col("c").alias("d")), "b").coalesce(tasks).groupBy(F.col("a").alias("g")).agg(F.min("d").alias("d"))
-        step = label.join(near, "g").select("g", F.least("c", "d").alias("c"), F.col("c").alias("was"))
-        step = cut(step.coalesce(tasks))
+        near = edges.join(label.select(F.col("g").alias("b"), F.col("c").alias("d")), "b").groupBy(F.col("a").alias("g")).agg(F.min("d").alias("d"))
+        step = cut(label.join(near, "g").select("g", F.least("c", "d").alias("c"), F.col("c").alias("was")))
         jump = step.select(F.col("g").alias("c"), F.col("c").alias("e"))
-        new = cut(step.join(jump, "c", "left").select("g", F.least("c", F.coalesce("e", "c")).alias("c"), "was").coalesce(tasks))
+        new = cut(step.join(jump, "c", "left").select("g", F.least("c", F.coalesce("e", "c")).alias("c"), "was"))
         label = new.select("g", "c")
         if not new.where("c <> was").limit(1).count():
             return label
 
 
-def _bucketed(sets: DataFrame) -> DataFrame:
-    return sets.select("g", "n", F.posexplode("bands").alias("pos", "band"))
+def _shared_buckets(sets: DataFrame) -> DataFrame:
+    """(g, p, q): each set in each bucket q that it shares with others, with the bucket's pivot p, the least set in it."""
+    rows = sets.select("g", F.posexplode("bands").alias("pos", "band")).select("g", F.xxhash64("pos", "band").alias("q"))
+    pivots = rows.groupBy("q").agg(F.min("g").alias("p"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+    return cut(rows.join(pivots, "q").select("g", "p", "q"))
+
+
+def _block_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """Members (s, g, n, c) of the groups s in blocks, each where it meets another: (s, x, y, side, g, n, c).
+
+    Large components c have blocks of their own, which don't meet each other; the rest share some, a component in one. Blocks of a
+    group meet if their classes of sizes are the same or neighbours; x = y is a block's meeting with itself, on side 0.
+    """
+    rows = members.withColumn("z", _size_class(F.col("n"), percent))
+    parts = rows.groupBy("s", "z", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
+    blocks_of = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("w") / BLOCK_SHINGLES)).cast("int")
+    parts = cut(parts.withColumn("k", blocks_of))
+    rest = parts.where("k = 1").groupBy("s", "z").agg(F.sum("m").alias("m"), F.sum("w").alias("w")).select("s", "z", blocks_of.alias("r"))
+    own = parts.join(rest, ["s", "z"], "left").select("s", "z", "c", "k", F.coalesce("r", F.lit(1)).alias("r"))
+    apart = F.col("k") > 1
+    block = F.when(apart, F.concat_ws(":", "z", "c", F.pmod(F.xxhash64("g"), "k"))).otherwise(F.concat_ws(":", "z", F.lit("m"), F.pmod(F.xxhash64("c"), "r")))
+    placed = cut(rows.join(own, ["s", "z", "c"]).select("s", "z", "g", "n", "c", block.alias("block"), F.when(apart, F.col("c")).alias("pure")))
+    blocks = placed.groupBy("s", "z", "block").agg(F.first("pure").alias("pure"))  # a row for some BLOCK sets
+    x = blocks.select("s", "z", F.col("block").alias("x"), F.col("pure").alias("px"))
+    y = blocks.select("s", F.explode(F.array(F.col("z"), F.col("z") - 1)).alias("z"), F.col("z").alias("zy"), F.col("block").alias("y"), F.col("pure").alias("py"))
+    met = cut(x.join(y, ["s", "z"]).where("(z < zy or x <= y) and not (px is not null and px <=> py)").select("s", "x", "y"))
+    left = placed.join(met.withColumn("block", F.col("x")), ["s", "block"]).withColumn("side", F.lit(0))
+    right = placed.join(met.where("x <> y").withColumn("block", F.col("y")), ["s", "block"]).withColumn("side", F.lit(1))
+    return left.unionByName(right).select("s", "x", "y", "side", "g", "n", "c")
+
+
+def _sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    first = group["side"].to_numpy() == 0
+    a = group[first]
+    return a, a if group["x"].iloc[0] == group["y"].iloc[0] else group[~first]
+
+
+def _likely_between(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> np.ndarray:
+    """Of all sets of a with all of b, of different components, whom sizes and sketches don't rule out."""
+    same = _agreeing(_bins(a["bands"]), _bins(b["bands"])) >= _least_agreeing(percent)
+    na, nb = a["n"].to_numpy()[:, None], b["n"].to_numpy()[None, :]
+    return same & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None, :])
+
+
+def _across_pairs(shared: DataFrame, sets: DataFrame, family: DataFrame, percent: int) -> DataFrame:
+    """(g, p): likely pairs of one bucket in different families, none of them the bucket's pivot."""
+    known = shared.join(family, "g", "left").withColumn("c", F.coalesce("c", "g"))
+    open_ = known.groupBy("q").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("m > 2 and c0 <> c1").select("q")
+    inside = known.where("g <> p").join(open_, "q").join(sets.select("g", "n"), "g").select(F.col("q").alias("s"), "g", "n", "c")
 
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sides(group)
+        i, j = np.nonzero(_likely_between(a, b, percent))
+        g, p = a["g"].to_numpy()[i], b["g"].to_numpy()[j]
+        return pd.DataFrame({"g": np.maximum(g, p), "p": np.minimum(g, p)}).drop_duplicates()
 
-def _pivot_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each set with the pivot of each of its buckets. The pivot has the least hash, so it is mostly the same one."""
-    rows = _bucketed(sets)
-    lead = F.min(F.struct(F.xxhash64("g").alias("h"), F.col("g").alias("p"), F.col("n").alias("m"))).alias("lead")
-    pivots = rows.groupBy("pos", "band").agg(lead, F.count(F.lit(1)).alias("c")).where("c > 1").select("pos", "band", "lead.p", "lead.m")
-    pairs = rows.join(pivots, ["pos", "band"]).where((F.col("g") != F.col("p")) & _size_ok(F.col("n"), F.col("m"), percent))
-    return pairs.select(F.least("g", "p").alias("a"), F.greatest("g", "p").alias("b")).distinct()
+    rows = _block_pairs(cut(inside), percent).join(sets.select("g", "bands"), "g")
+    return cut(rows.groupBy("s", "x", "y").applyInPandas(compare, "g bigint, p bigint").distinct())
 
 
-def _family_links(sets: DataFrame, family: DataFrame, label: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
+def _family_links(sets: DataFrame, family: DataFrame, label: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """(a, b): a spanning tree of the links inside each family (g, c) that isn't one component yet."""
     own = family.select("g", F.col("c").alias("s")).join(label, "g", "left").withColumn("c", F.coalesce("c", "g"))
-    parts = own.groupBy("s", "c").agg(F.count(F.lit(1)).alias("m"))
-    small = F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))).alias("rest")
-    open_ = parts.groupBy("s").agg(F.count(F.lit(1)).alias("parts"), small).where("parts > 1").select("s", "rest")
-    parts = fitted(cut(parts.join(open_, "s")), PAIRS_PER_TASK)
-    # Large components have blocks of their own, the others share some; sets of one component keep together.
-    spread = lambda c, n: F.pmod(F.xxhash64(c), F.greatest(F.lit(1), F.ceil(n / BLOCK))).cast("string")
-    block = F.when(F.col("m") > BLOCK, F.concat_ws(":", F.lit("own"), "c", spread("g", F.col("m")))).otherwise(F.concat_ws(":", F.lit("mixed"), spread("c", F.col("rest"))))
-    members = fitted(cut(own.join(parts, ["s", "c"]).select("g", "s", "c", block.alias("block"), F.when(F.col("m") > BLOCK, F.col("c")).alias("pure"))), PAIRS_PER_TASK)
-    blocks = members.groupBy("s", "block").agg(F.first("pure").alias("pure"))  # a row for some BLOCK sets
-    x, y = (blocks.select("s", F.col("block").alias(n), F.col("pure").alias(f"p{n}")) for n in "xy")
-    met = fitted(cut(x.join(y, "s").where("x <= y and not (px is not null and px <=> py)").select("s", "x", "y")), PAIRS_PER_TASK)
-    left = members.join(met.withColumn("block", F.col("x")), ["s", "block"]).select("g", "c", "s", "x", "y", F.lit(0).alias("side"))
-    right = members.join(met.where("x <> y").withColumn("block", F.col("y")), ["s", "block"]).select("g", "c", "s", "x", "y", F.lit(1).alias("side"))
-    needed = fitted(cut(sets.join(members.select("g"), "g", "left_semi").select("g", "id")), PAIRS_PER_TASK)
-    full = _set_table(docs, needed, doc_id, text, k)
+    open_ = own.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("s")
+    members = cut(own.join(open_, "s").join(sets.select("g", "n"), "g").select("s", "g", "n", "c"))
+
+    def narrow(group: pd.DataFrame) -> pd.DataFrame:
+        a, b = _sides(group)
+        likely = _likely_between(a, b, percent)
+        out = [a[likely.any(axis=1)], b[likely.any(axis=0)]]
+        return pd.concat(out if a is not b else [a[likely.any(axis=1) | likely.any(axis=0)]])[["s", "x", "y", "side", "g", "c"]]
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        first = group["side"].to_numpy() == 0
-        a, b = group[first], group[~first]
-        a, b = (a, a if not len(b) and group["x"].iloc[0] == group["y"].iloc[0] else b)
-        return _spanning(a, b, percent)
+        return _spanning(*_sides(group), percent)
 
-    rows = cut(left.unionByName(right))
-    rows = rows.coalesce(max(1, -(-rows.count() // TEXTS_PER_TASK))).join(full, "g")
-    return rows.groupBy("s", "x", "y").applyInPandas(compare, "a bigint, b bigint")
+    rows = _block_pairs(members, percent).join(sets.select("g", "bands"), "g")
+    rows = cut(rows.groupBy("s", "x", "y").applyInPandas(narrow, "s bigint, x string, y string, side int, g bigint, c bigint"))
+    return cut(rows.join(full.select("g", "items"), "g").groupBy("s", "x", "y").applyInPandas(compare, "a bigint, b bigint"))
 
 
 #: Different shingles that enter one matrix product.
@@ -308,62 +357,49 @@ def _spanning(a: pd.DataFrame, b: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": l[own], "b": g[own]}).drop_duplicates()
 
 
-def _unsettled_pairs(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of one bucket in different families that no pivot has met and the sketches don't rule out."""
-    least = _least_agreeing(percent)
-    known = sets.join(label, "g", "left").withColumn("c", F.coalesce("c", "g"))
-    rows = known.select("g", "n", "c", F.posexplode("bands").alias("pos", "band"))
-    lead = F.min(F.struct(F.xxhash64("g").alias("h"), F.col("g").alias("p")))
-    open_ = rows.groupBy("pos", "band").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1"), lead.alias("lead"))
-    open_ = open_.where("m > 2 and c0 <> c1").select("pos", "band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), "lead.p")
-    inside = rows.join(open_, ["pos", "band"]).where("g <> p")
-    own = F.pmod(F.xxhash64("g", F.lit(3)), F.col("blocks")).cast("int")
-    # A block meets each other block once: the pair is named by both numbers.
-    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("x"), F.greatest("own", o).alias("y")))
-    spread = inside.withColumn("own", own).withColumn("met", F.explode(met)).select("g", "n", "c", "pos", "band", "own", "met.x", "met.y")
-    spread = fitted(cut(spread), SETS_PER_TASK).join(sets.select("g", "bands"), "g")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group["x"].iloc[0], group["y"].iloc[0]
-        one = group[group["own"] == x]
-        two = one if x == y else group[group["own"] == y]
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        same = _agreeing(_bins(one["bands"]), _bins(two["bands"])) >= least
-        na, nb = one["n"].to_numpy()[:, None], two["n"].to_numpy()[None, :]
-        same &= (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (one["c"].to_numpy()[:, None] != two["c"].to_numpy()[None, :])
-        i, j = np.nonzero(same)
-        a, b = one["g"].to_numpy()[i], two["g"].to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return spread.groupBy("pos", "band", "x", "y").applyInPandas(compare, "a bigint, b bigint").distinct()
+def _grouped(docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and for each set (d, d2) the smallest row of its component: its id, h and h2."""
+    rows = cut(sketch_table(docs, doc_id, text, shingle))
+    # The set's first row: ids before null.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "h2")).alias("r")
+    sets = rows.where("n > 0").groupBy("d", "d2").agg(first, F.first("n").alias("n"), F.first("bands").alias("bands"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("g"), "d", "d2", "r.id", "r.h", "r.h2", "n", "bands"))
+    shared = _shared_buckets(sets)
+    likely = _likely(shared.where("g <> p").select("g", "p").distinct(), sets, percent)
+    family = components(likely.select(F.col("g").alias("a"), F.col("p").alias("b")))
+    across = _across_pairs(shared, sets, family, percent)
+    full = _full_sets(likely.unionByName(across), sets, docs, doc_id, text, shingle)
+    links = _verified(full, percent)
+    label = components(links)
+    inside = _family_links(sets, family, label, full, percent)
+    if inside.limit(1).count():
+        label = components(links.unionByName(inside))
+    named = sets.select("g", "d", "d2", F.struct(F.col("id").isNull().alias("none"), "id", "h", "h2").alias("r")).join(label, "g", "left").withColumn("c", F.coalesce("c", "g"))
+    return rows, named.join(named.groupBy("c").agg(F.min("r").alias("least")), "c").select("d", "d2", "least")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each of docs; sets are linked from percent / 100 similarity on."""
-    rows = cut(sketch_table(docs, doc_id, text, shingle))
-    sets = rows.where("n > 0").groupBy("g", "g2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")).drop("g2")
-    sets = fitted(cut(sets), SETS_PER_TASK)
-    check = lambda pairs: _verified(pairs, sets, docs, doc_id, text, shingle, percent)
-    likely = _likely(_pivot_pairs(sets, percent), sets, percent)
-    links = check(likely)
-    family, label = components(likely), components(links)
-    inside = fitted(cut(_family_links(sets, family, label, docs, doc_id, text, shingle, percent)), PAIRS_PER_TASK)
-    across = _likely(_unsettled_pairs(sets, family, percent), sets, percent)
-    if inside.union(across).limit(1).count():
-        label = components(links.union(inside).union(check(across)))
-    named = sets.select("g", "id").join(label, "g", "left").withColumn("c", F.coalesce("c", "g"))
-    least = named.groupBy("c").agg(F.min("id").alias("component_id"))
-    by_set = named.join(least, "c").select("g", "component_id")
-    out = rows.select("id", "n", "g").join(by_set.withColumn("_n", F.lit(True)), "g", "left")
-    component = F.when((F.col("n") > 0) & F.col("_n"), F.col("component_id")).otherwise(F.col("id"))
+    rows, least = _grouped(docs, doc_id, text, shingle, percent)
+    out = rows.select("id", "n", "d", "d2").join(least, ["d", "d2"], "left")
+    component = F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(False)))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose group has a smaller id; of rows equal in id and text one stays, rows without an id all stay."""
-    gone = near_duplicates(docs, doc_id, text, shingle, percent).where(~F.col("kept") & F.col(doc_id).isNotNull()).select(doc_id).distinct()
-    left, mark = docs.join(gone, doc_id, "left_anti"), free_name(docs, "_copy")
-    copy = F.row_number().over(Window.partitionBy(doc_id, F.xxhash64(F.col(text))).orderBy(doc_id))
-    return left.withColumn(mark, copy).where((F.col(mark) == 1) | F.col(doc_id).isNull()).select(*docs.columns)
+    """docs with one row of each group, that of the smallest id (null last), and of rows equal in id and text one.
+
+    Decisions are made by row, not by id: another text under the id of a removed one stays if its own group's first is it.
+    """
+    rows, least = _grouped(docs, doc_id, text, shingle, percent)
+    later = ~(F.col("id").eqNullSafe(F.col("least.id")) & (F.col("h") == F.col("least.h")) & (F.col("h2") == F.col("least.h2")))
+    key, copy = hidden(docs, "_key", "_copy")
+    gone = rows.where("n > 0").select("id", "h", "h2", "d", "d2").join(least, ["d", "d2"]).where(later)
+    gone = gone.select(_row_key(F.col("id"), F.col("h"), F.col("h2")).alias(key)).distinct()
+    keyed = docs.withColumn(key, _row_key(F.col(doc_id), *_text_hashes(F.col(text).cast("string"))))
+    # The first of a key is told in each task before anything moves, so repeated rows don't meet in one.
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*plain)))
+    left = keyed.withColumn(copy, first).where(F.col(copy) == 1)
+    return left.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
