@@ -7,7 +7,8 @@ from whole texts by vectorised kernels, a batch at a time; nothing is shuffled b
 
 Cases: a null or empty text has all statistics 0 and gets a score like any other; labels that are null are left out, a document
 with several labels counts as their majority (ties as 1); without labels every score is 0.5, with one class alone the model is
-its smoothed share; repeated rows score alike; columns named like a statistic or a result are replaced.
+its smoothed share; repeated rows score alike and are learned from once; very long texts are taken whole; an empty table gives an
+empty result; columns named like a result are replaced by `classify` and kept by `keep_good`, as all other columns are.
 """
 
 from __future__ import annotations
@@ -73,13 +74,12 @@ def statistics_of(w: Words) -> np.ndarray:
     return np.column_stack([words, length, by_class, distinct, echo, repeat]).astype(np.float64)
 
 
-def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` of docs and the statistics of the text as doubles named s_<statistic>."""
-    keep = [c for c in keep if not c.lower().startswith("s_")]
+def with_statistics(docs: DataFrame, keep: list[str], prefix: str, text: str = "text") -> DataFrame:
+    """The columns `keep` of docs and the statistics of the text as doubles named prefix + statistic."""
     sent = keep if text in keep else [text, *keep]
     at, places = sent.index(text), [sent.index(c) for c in keep]
-    names = [*keep, *(f"s_{c}" for c in STATISTICS)]
-    out = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f"s_{c}", T.DoubleType()) for c in STATISTICS])
+    names = [*keep, *(prefix + c for c in STATISTICS)]
+    out = T.StructType([docs.schema[c] for c in keep] + [T.StructField(prefix + c, T.DoubleType()) for c in STATISTICS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,7 +88,15 @@ def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
                 cols = [b.column(c).slice(i, j - i) for c in places] + [pa.array(np.ascontiguousarray(x)) for x in stats.T]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(*sent).mapInArrow(run, out)
+    return docs.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, out)
+
+
+def free_prefix(docs: DataFrame) -> str:
+    """A beginning that no column's name has."""
+    prefix = "s_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return prefix
 
 
 #: (statistic, whether above, cut): one comparison of a rule.
@@ -100,17 +108,17 @@ class RuleModel:
     intercept: float = 0.0
     rules: list[tuple[tuple[Test, ...], float]] = field(default_factory=list)
 
-    def score(self) -> Column:
-        """The probability of label 1, over columns s_<statistic>."""
+    def score(self, prefix: str) -> Column:
+        """The probability of label 1, over the columns of the statistics."""
         total = F.lit(float(self.intercept))
         for tests, weight in self.rules:
-            said = reduce(lambda a, b: a & b, (_said(t) for t in tests))
+            said = reduce(lambda a, b: a & b, (_said(t, prefix) for t in tests))
             total = total + F.when(said, F.lit(float(weight))).otherwise(F.lit(0.0))
         return 1.0 / (1.0 + F.exp(-total))
 
 
-def _said(t: Test) -> Column:
-    c = F.col(f"s_{STATISTICS[t[0]]}")
+def _said(t: Test, prefix: str) -> Column:
+    c = F.col(f"`{prefix}{STATISTICS[t[0]]}`")
     return c > F.lit(t[2]) if t[1] else c <= F.lit(t[2])
 
 
@@ -218,14 +226,26 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("_i")).agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
     sample = known.orderBy(F.xxhash64("_i"), "_i").limit(MAX_SAMPLE)  # two numbers a row: small enough to broadcast by its limit
-    rows = docs.join(F.broadcast(sample), docs[doc_id] == F.col("_i")).select("_i", "_y", F.col(text).alias("_text"))
-    got = with_statistics(rows, ["_i", "_y"], "_text").toPandas().sort_values(["_i", *(f"s_{c}" for c in STATISTICS)])
-    return fit(got[[f"s_{c}" for c in STATISTICS]].to_numpy(float), got["_y"].to_numpy(float))
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    rows = texts.join(F.broadcast(sample), F.col("_id") == F.col("_i")).select("_i", "_y", "_text")
+    names = [f"s_{c}" for c in STATISTICS]
+    # An id may have any number of rows: different ones count once, and MAX_SAMPLE of them at most reach the driver.
+    different = with_statistics(rows, ["_i", "_y"], "s_", "_text").distinct()
+    got = different.orderBy(F.xxhash64("_i"), "_i", *names).limit(MAX_SAMPLE).toPandas().sort_values(["_i", *names])
+    return fit(got[names].to_numpy(float), got["_y"].to_numpy(float))
 
 
 def classify(docs: DataFrame, model: RuleModel, keep: list[str], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The columns `keep` of docs with held_out, score and predicted (1 from a score of 0.5 on)."""
-    made = ("held_out", "score", "predicted")
+    made, prefix = ("held_out", "score", "predicted"), free_prefix(docs)
     keep = [c for c in keep if c.lower() not in made]
-    out = with_statistics(docs, keep, text).withColumn("held_out", held_out(F.col(doc_id))).withColumn("score", model.score())
-    return out.select(*keep, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    sent = keep if doc_id in keep else [*keep, doc_id]
+    out = with_statistics(docs, sent, prefix, text).withColumn("held_out", held_out(F.col(doc_id))).withColumn("score", model.score(prefix))
+    return out.select(*[F.col(f"`{c}`") for c in keep], "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: RuleModel, text: str = "text") -> DataFrame:
+    """docs without the rows whose score is under 0.5; all columns, of any name, stay as they are."""
+    prefix = free_prefix(docs)
+    good = with_statistics(docs, docs.columns, prefix, text).where(model.score(prefix) >= 0.5)
+    return good.select(*[F.col(f"`{c}`") for c in docs.columns])
