@@ -1,15 +1,17 @@
 """Quality rules: statistics of each text, and lines that too many documents of one host share.
 
 Each line is normalised (digits to 0, A-Z lower-cased, runs of white space to one space, trimmed) and hashed; for each host and
-hash the *different texts* that hold the line are counted, so exact copies of a document don't make its lines boilerplate.
-Lines above the limit are removed; a document keeps its place if enough of its words remain. A line counts once for a text, and
-lines under MIN_LINE_WORDS words are left alone, as short lines meet by chance.
+hash the distinct documents that hold the line are counted. A line is boilerplate where more than LEAST_DOCS documents of its host
+and more than MAX_SHARE of them hold it; such lines are removed, and a document keeps its place if enough of its words remain.
 
-The text itself is never shuffled: documents send (host, line hash, words) of their lines, added up before they move; lines
-above the limit join back by (host, line), in which a hot line is split by the skew join.
+The text is read once: a table keeps each row's statistics and its lines as (hash, words). Counts are added up before they move,
+and lines above the limit join back by (host, line), in which a hot line is split by the skew join.
 
-Cases: a null or empty text has no words and no lines, and fails the base rules; a null host is a host of its own; repeated
-rows are judged alike, one row each; very long texts and lines are taken whole; columns of the result's names are replaced.
+A document is a different pair of id and text: rows equal in both, and in host, count once, and a line counts once for a document.
+
+Cases: a null or empty text has no words and no lines, and fails the base rules; a null host is a host of its own, a null id an id
+like others; repeated rows are judged alike, one row each; very long texts and lines are taken whole; an empty table gives an empty
+result; other columns pass, those of the result's names are replaced.
 """
 
 from __future__ import annotations
@@ -17,11 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.session import SPACE_WORD, ascii_lower, free_name
+from brindle.llm.session import SPACE_WORD, ascii_lower, cut, free_name, hidden
 
-MIN_LINE_WORDS = 4
-#: Different texts of one host that may share a line.
-MAX_TEXTS = 50
+#: Documents of one host that may share a line: so many, or this share of the host's documents where that is more.
+LEAST_DOCS, MAX_SHARE = 3, 0.05
 #: Share of its words that a document must keep.
 MIN_LEFT = 0.3
 SYMBOLS = "#*$%&|<>"
@@ -78,60 +79,67 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(ascii_lower(line), "123456789", "000000000"), r"[\x20\x09-\x0D]+", " "))
 
 
-def document_lines(docs: DataFrame, host: str, text: str, keys: list[Column]) -> DataFrame:
-    """The different lines of each row with enough words: keys, _host, _line (hash), _n (words under it in this text)."""
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), normal_line)
-    # A normal line's words are its spaces and one; equal lines of one text are added up in place.
-    sized = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
-    rows = docs.select(*keys, F.col(host).alias("_host"), F.explode(F.filter(sized, lambda x: x["n"] >= MIN_LINE_WORDS)).alias("l"))
-    return rows.select(*[k for k in rows.columns if k != "l"], F.col("l.h").alias("_line"), F.col("l.n").alias("_n"))
-
-
-def boilerplate_words(docs: DataFrame, host: str, text: str, doc_id: str, max_texts: int) -> DataFrame:
-    """(_id, _digest, _host, removed): words of lines above the limit, for each different row."""
-    keys = [F.col(doc_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_digest")]
-    once = ["_id", "_digest", "_host", "_line"]
-    lines = document_lines(docs, host, text, keys)
-    # Rows with the same id, text and host are one here; their repeated lines must not be added up over copies.
-    rows = docs.select(*keys, F.col(host).alias("_host")).groupBy("_id", "_digest", "_host").agg(F.count(F.lit(1)).alias("_copies"))
-    by_text = lines.select("_host", "_line", "_digest").distinct()
-    common = by_text.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_texts).select("_host", "_line")
-    l, c = lines.alias("l"), common.alias("c")
-    hit = l.join(c, F.col("l._host").eqNullSafe(F.col("c._host")) & (F.col("l._line") == F.col("c._line")), "left_semi")
-    total = hit.groupBy(*once[:3]).agg(F.sum("_n").alias("_sum"))
-    r, s = rows.alias("r"), total.alias("s")
-    same = F.col("r._id").eqNullSafe(F.col("s._id")) & (F.col("r._digest") == F.col("s._digest")) & F.col("r._host").eqNullSafe(F.col("s._host"))
-    return r.join(s, same).select("r._id", "r._digest", "r._host", (F.col("_sum") / F.col("_copies")).cast("long").alias("removed"))
+def line_list(text: Column) -> Column:
+    """array<struct<h, n>>: the text's lines with words, as hashes of their normal form, with their words."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), normal_line)
+    # A normal line's words are its spaces and one.
+    sized = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.when(x == "", 0).otherwise(F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("n")))
+    return F.filter(sized, lambda x: x["n"] > 0)
+
+
+def common_lines(documents: DataFrame, least: int, share: float) -> DataFrame:
+    """(host, line) above the limit, of different documents (host, lines)."""
+    held = documents.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("line"))
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least)
+    sizes = documents.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("docs"))
+    return counts.join(sizes, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") > F.col("docs") * share).select("host", "line")
+
+
+def _documents(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id", "digest", "digest2", "host").agg(F.first("lines").alias("lines"))
+
+
+def _digests(text: Column) -> tuple[Column, Column]:
+    t = F.coalesce(text, F.lit(""))
+    return F.xxhash64(t), F.xxhash64(F.lit(1), t)
 
 
 def apply_rules(
-    docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", max_texts: int = MAX_TEXTS, min_left: float = MIN_LEFT
+    docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", least: int = LEAST_DOCS, share: float = MAX_SHARE, min_left: float = MIN_LEFT
 ) -> DataFrame:
     """docs without the text, with the statistics, n_removed (words of removed lines) and kept."""
-    digest, own_host, own_id = free_name(docs, "_digest0"), free_name(docs, "_host0"), free_name(docs, "_id0")
-    stats = add_statistics(docs, text).withColumns(
-        {digest: F.xxhash64(F.coalesce(F.col(text), F.lit(""))), own_host: F.col(host), own_id: F.col(doc_id)}
-    )
-    stats = stats.drop(text, "n_removed", "kept")
-    gone = boilerplate_words(docs, host, text, doc_id, max_texts)
-    on = F.col(own_id).eqNullSafe(gone["_id"]) & (F.col(digest) == gone["_digest"]) & F.col(own_host).eqNullSafe(gone["_host"])
-    out = stats.join(gone, on, "left").withColumn("n_removed", F.coalesce("removed", F.lit(0)))
+    row = free_name(docs, "_row")
+    one, two = _digests(F.col(text))
+    key = F.struct(F.col(doc_id).alias("id"), one.alias("digest"), two.alias("digest2"), F.col(host).alias("host"), line_list(F.col(text)).alias("lines"))
+    rows = cut(add_statistics(docs.withColumn(row, key), text).drop(text, "n_removed", "kept"))
+    documents = _documents(rows.select(f"{row}.*"))
+    documents = cut(documents)
+    lines = documents.select("id", "digest", "digest2", "host", F.explode("lines").alias("l"))
+    l, c = lines.alias("l"), common_lines(documents, least, share).alias("c")
+    hit = l.join(c, F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.l.h") == F.col("c.line")), "left_semi")
+    gone = hit.groupBy("id", "digest", "digest2", "host").agg(F.sum("l.n").alias("n"))
+    mark = free_name(rows, "_gone")
+    g = gone.select(F.struct("id", "digest", "digest2", "host", "n").alias(mark))
+    own, its = F.col(row), F.col(mark)
+    same = own["id"].eqNullSafe(its["id"]) & (own["digest"] == its["digest"]) & (own["digest2"] == its["digest2"]) & own["host"].eqNullSafe(its["host"])
+    out = rows.join(g, same, "left").withColumn("n_removed", F.coalesce(its["n"], F.lit(0)))
     left = F.col("n_words") - F.col("n_removed")
-    out = out.withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * min_left))
-    return out.drop(digest, own_host, own_id, "_id", "_digest", "_host", "removed")
+    return out.withColumn("kept", ~F.col("base_failed") & (left >= F.col("n_words") * min_left)).drop(row, mark)
 
 
-def remove_lines(docs: DataFrame, host: str = "source", text: str = "text", max_texts: int = MAX_TEXTS) -> DataFrame:
+def remove_lines(docs: DataFrame, host: str = "source", text: str = "text", doc_id: str = "doc_id", least: int = LEAST_DOCS, share: float = MAX_SHARE) -> DataFrame:
     """docs with the text's boilerplate lines taken out; other lines stay as they are, joined by line feeds again."""
-    digest = free_name(docs, "_digest0")
-    keyed = docs.withColumn(digest, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    lines = document_lines(docs, host, text, [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_digest")]).drop("_n").distinct()
-    common = lines.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_texts).select("_host", "_line")
-    l, c = lines.alias("l"), common.alias("c")
-    hit = l.join(c, F.col("l._host").eqNullSafe(F.col("c._host")) & (F.col("l._line") == F.col("c._line")), "left_semi")
+    one, two = _digests(F.col(text))
+    key = [F.col(doc_id).alias("id"), one.alias("digest"), two.alias("digest2"), F.col(host).alias("host"), line_list(F.col(text)).alias("lines")]
+    documents = cut(_documents(docs.select(*key)))
+    l, c = documents.select("digest", "digest2", "host", F.explode("lines.h").alias("h")).distinct().alias("l"), common_lines(documents, least, share).alias("c")
+    hit = l.join(c, F.col("l.host").eqNullSafe(F.col("c.host")) & (F.col("l.h") == F.col("c.line")), "left_semi")
     # One text's own lines: bounded by the text.
-    gone = hit.groupBy("_digest", "_host").agg(F.collect_set("_line").alias("_gone"))
-    on = (F.col(digest) == gone["_digest"]) & F.col(host).eqNullSafe(gone["_host"])
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x: ~F.array_contains(F.col("_gone"), F.xxhash64(normal_line(x))))
-    out = keyed.join(gone, on, "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    return out.select(*docs.columns)
+    gone = hit.groupBy("digest", "digest2", "host").agg(F.collect_set("h").alias("gone"))
+    mark, mine = hidden(docs, "_gone", "_mine")
+    its, own = F.col(mark), F.col(mine)
+    same = (own["digest"] == its["digest"]) & (own["digest2"] == its["digest2"]) & own["host"].eqNullSafe(its["host"])
+    keyed = docs.withColumn(mine, F.struct(one.alias("digest"), two.alias("digest2"), F.col(host).alias("host")))
+    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x: ~F.array_contains(its["gone"], F.xxhash64(normal_line(x))))
+    out = keyed.join(gone.select(F.struct("*").alias(mark)), same, "left").withColumn(text, F.when(its.isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

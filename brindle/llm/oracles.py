@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from brindle.llm import decontaminate
 from brindle.llm import line_frequency as lines
-from brindle.llm.queries import LISTED_DOMAINS, PROBE_TEXT, RULES
+from brindle.llm.queries import LISTED_DIGITS, LISTED_DOMAINS, PROBE_TEXT, RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,8 +23,10 @@ norm as (select r, source, raw,
     trim(regexp_replace(translate(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '123456789', '000000000'),
       '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as line from l),
 dup as (select r, count(*) - count(distinct raw) as n from norm where regexp_matches(raw, '{WORD}') group by r),
-sized as (select n.r, n.source, line, length(line) - length(replace(line, ' ', '')) + 1 as words, hash(d.t) as txt from norm n join d using (r)),
-common as (select source, line from sized where words >= {lines.MIN_LINE_WORDS} group by source, line having count(distinct txt) > {lines.MAX_TEXTS}),
+sized as (select n.r, n.source, line, length(line) - length(replace(line, ' ', '')) + 1 as words, d.doc_id, d.t from norm n join d using (r) where line <> ''),
+docs as (select source, count(*) as n from (select distinct source, doc_id, t from d) group by source),
+held as (select source, line, count(*) as n from (select distinct source, line, doc_id, t from sized) group by source, line),
+common as (select h.source, line from held h join docs on h.source is not distinct from docs.source where h.n > greatest({lines.LEAST_DOCS}, docs.n * {lines.MAX_SHARE})),
 gone as (select s.r, sum(words) as n from sized s join common c on s.source is not distinct from c.source and s.line = c.line group by s.r),
 s as (select d.r, d.doc_id, len(w.w)::bigint as n_words, length(array_to_string(w.w, ''))::bigint as word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, coalesce(dup.n, 0)::bigint as n_dup_lines,
@@ -42,15 +44,18 @@ def url_filter() -> str:
         for r in sorted(RULES, key=lambda r: -len(r.text))
     )
     told = " ".join(f"when '{r.text}' then '{r.verdict}'" for r in RULES)
-    listed = " or ".join(f"host = '{d}' or ends_with(host, '.{d}')" for d in LISTED_DOMAINS)
+    named = ", ".join(f"('{d}')" for d in LISTED_DOMAINS)
     return rf"""
 with u as (select page_id,
     translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+listed as (select host as key from u where host <> '' and contains('{LISTED_DIGITS}', md5(host)[1]) union values {named}),
+bad as (select distinct h.host from (select distinct host from u) h join listed l on h.host = l.key or ends_with(h.host, '.' || l.key)),
 f as (select *, case
 {fits}
     end as rule from u)
-select page_id, host, path, rule, coalesce(case rule {told} end, case when {listed} then 'block' else 'allow' end) as verdict from f"""
+select page_id, f.host, path, rule, coalesce(case rule {told} end, case when bad.host is not null then 'block' else 'allow' end) as verdict
+from f left join bad on f.host = bad.host"""
 
 
 def chat_format() -> str:

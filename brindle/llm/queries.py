@@ -19,7 +19,9 @@ RULES = [
     url_filter.Rule("allow", "com", "/fr/"),
     url_filter.Rule("block", "com", "/de/"),
 ]
-#: Domains that the URL filter's list holds, with all hosts below them.
+#: The URL filter's list: these domains, the hosts of the pages whose MD5 begins with one of these digits (a quarter of them), and
+#: so many domains that no page is under. It holds all hosts below what it names.
+LISTED_DIGITS, ABSENT_DOMAINS = "0123", 5000
 LISTED_DOMAINS = [
     f"{name}.example.{top}"
     for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -61,8 +63,12 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = spark.createDataFrame([(d,) for d in LISTED_DOMAINS], "key string")
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES, listed).drop("url")
+    hosts = pages.select(url_filter.url_host(F.col("url")).alias("key")).distinct()
+    listed = listed.unionByName(hosts.where(F.substring(F.md5("key"), 1, 1).isin(*LISTED_DIGITS)))
+    absent = spark.range(ABSENT_DOMAINS).select(F.concat(F.lit("absent-"), F.col("id"), F.lit(".example.net")).alias("key"))
+    return url_filter.judge(pages, RULES, listed.unionByName(absent)).drop("url")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
