@@ -4,20 +4,30 @@ from __future__ import annotations
 
 import random
 
+#: How a page holds its content.
+FAMILIES = ("semantic", "named", "plain", "table", "bare")
 _SYLLABLES = "ba de fi go lu ma ne pi ro su ta vo ker lin mon ter sal dur".split()
 
 
 class PageGrammar:
     """Draws pages as HTML in which every element has data-y="1" where it is content and "0" where it isn't."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, families: tuple[str, ...] = FAMILIES):
         self.r = random.Random(seed)
+        self.families = tuple(families)
+
+    def name(self) -> str:
+        """A class that says nothing: made up, as generated and foreign names are, on content and on anything else."""
+        r = self.r
+        return "-".join("".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 3))) + r.choice(("", "", "1", "_x")) for _ in range(r.randint(1, 2)))
 
     def words(self, low: int, high: int) -> str:
         r = self.r
         return " ".join("".join(r.choice(_SYLLABLES) for _ in range(r.randint(1, 3))) for _ in range(r.randint(low, high)))
 
     def el(self, tag: str, y: int, inner: str, names: str = "") -> str:
+        if tag in ("div", "section", "p", "ul", "td", "h2", "span") and self.r.random() < 0.25:
+            names = f"{names} {self.name()}".strip()
         mark = f' {self.r.choice(("class", "id"))}="{names}"' if names else ""
         return f'<{tag}{mark} data-y="{y}">{inner}</{tag}>'
 
@@ -85,7 +95,7 @@ class PageGrammar:
 
     def comments(self) -> str:
         r = self.r
-        one = lambda: self.el(r.choice(("div", "li", "article")), 0, self.el("p", 0, self.inline(0, 2, 50)), r.choice(("comment", "reply", "comment body")))
+        one = lambda: self.el(r.choice(("div", "div", "li", "li", "article")), 0, self.el("p", 0, self.inline(0, 2, 50)), r.choice(("comment", "reply", "comment body")))
         return self.el(r.choice(("div", "section")), 0, self.el("h3", 0, self.words(1, 3)) + "".join(one() for _ in range(r.randint(1, 4))), r.choice(("comments", "discussion", "respond", "comment list")))
 
     def any_boiler(self) -> str:
@@ -120,13 +130,27 @@ class PageGrammar:
         r = self.r
         title = self.el("h1", 1, self.words(2, 12))
         parts = [title] if r.random() < 0.8 else []
-        parts += [self.content_block() for _ in range(r.choice((1, 2, 3, 5, 8, 14, 30)))]
+        parts += [self.content_block() for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14, 30)))]
         for _ in range(r.choice((0, 0, 1, 2))):  # notices, adverts and forms inside the article
             parts.insert(r.randint(0, len(parts)), self.any_boiler())
-        tag, names = r.choice((("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("main", "content"), ("div", "content"), ("div", "article body"), ("div", "post entry"), ("section", "story"), ("div", "entry content"), ("div", "main text"), ("td", "content")))
-        main = self.el(tag, 1, "".join(parts), names)
-        if r.random() < 0.2:
+        family = r.choice(self.families + tuple(f for f in self.families if f == "semantic"))
+        around, after = ([self.any_boiler() for _ in range(r.randint(0, 4))] for _ in range(2))
+        if family == "semantic":
+            main = self.el(*(lambda t, n: (t, 1, "".join(parts), n))(*r.choice((("article", ""), ("article", ""), ("article", "post"), ("main", ""), ("main", "content"), ("section", "story")))))
+        elif family == "named":
+            main = self.el("div", 1, "".join(parts), r.choice(("content", "article body", "post entry", "entry content", "main text")))
+        elif family == "plain":
+            main = self.el(r.choice(("div", "section")), 1, "".join(parts), r.choice(("", self.name())))
+            for _ in range(r.randint(0, 2)):
+                main = self.el("div", 1, main + (self.any_boiler() if r.random() < 0.3 else ""), r.choice(("", self.name())))
+        elif family == "table":
+            cells = [self.el("td", 0, self.links())] if r.random() < 0.7 else []
+            cells.insert(r.randint(0, len(cells)), self.el("td", 1, "".join(parts), r.choice(("", "", "content"))))
+            main = self.el("table", 1, self.el("tr", 1, "".join(cells)))
+        else:  # straight in the body
+            main = "".join(parts)
+        if family in ("semantic", "named") and r.random() < 0.2:
             main = self.el(r.choice(("main", "div", "section")), 1, main + (self.any_boiler() if r.random() < 0.5 else ""), r.choice(("", "main", "content")))
-        around = [self.any_boiler() for _ in range(r.randint(0, 4))]
-        after = [self.any_boiler() for _ in range(r.randint(0, 4))]
-        return f'<html data-y="1"><head><title>{self.words(1, 5)}</title></head><body data-y="1">' + "".join((*around, main, *after)) + "</body></html>"
+        head = f"<title>{self.words(1, 5)}</title>"
+        body = "".join((*around, main, *after))
+        return r.choice((f'<html data-y="1"><head>{head}</head><body data-y="1">{body}</body></html>', f'<html data-y="1"><head>{head}</head><body data-y="1">{body}', f'<head>{head}{body}', body, body))
