@@ -16,8 +16,8 @@ string, and a conversation's runs are joined last; only its result, one string,
 
 Cases: null roles and texts are empty; a null conv_id is one conversation; two `message` events of one turn are two messages,
 ties of seq are ordered by kind (messages first), role and text, so repeated rows give the same output in any order; a delta,
-edit or regenerate without an open message opens one; an unknown kind, or none, is a message. An empty log gives no rows.
-Columns that aren't the log's are dropped, whatever they are named.
+edit or regenerate without an open message opens one; an unknown kind, or none, is a message. An empty log gives no rows;
+very long texts and turns of very many deltas are folded whole, in one pass. Columns that aren't the log's are dropped, whatever they are named.
 """
 
 from __future__ import annotations
@@ -57,18 +57,18 @@ def fold_turns(events: DataFrame) -> DataFrame:
     event = F.struct(F.col("seq"), order.alias("kind"), role.alias("role"), text.alias("text"))
     grouped = events.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(event)).alias("e"))
 
-    def step(done: Column, e: Column) -> Column:
-        opened = F.struct(e["role"].alias("role"), e["text"].alias("text"))
-        last = F.element_at(done, -1)
-        text = F.when(e["kind"] == 1, F.concat(last["text"], e["text"])).otherwise(e["text"])
-        changed = F.struct(last["role"].alias("role"), text.alias("text"))
-        before = F.slice(done, F.lit(1), F.size(done) - 1)
-        return F.when((e["kind"] == 0) | (F.size(done) == 0), F.concat(done, F.array(opened))).otherwise(F.concat(before, F.array(changed)))
+    def message(at: Column, k: Column) -> Column:
+        """The message that opens at the event `at`: its text is that of the last event that isn't a delta, and the deltas after it."""
+        end = F.coalesce(F.get(F.col("opens"), k + 1), F.size("e"))
+        own = F.slice(F.col("e"), at + 1, end - at)
+        last = F.array_max(F.filter(F.transform(own, lambda x, i: F.when((x["kind"] != 1) | (i == 0), i)), lambda i: i.isNotNull()))
+        return F.struct(F.get(own, F.lit(0))["role"].alias("role"), F.array_join(F.transform(F.slice(own, last + 1, F.size(own)), lambda x: x["text"]), "").alias("text"))
 
-    # Most turns are complete messages; they need no fold, which copies its state at every step.
+    # Each event is in one message's slice, so a turn takes time in proportion to its events. Most are complete messages as they are.
+    opens = F.filter(F.sequence(F.lit(0), F.size("e") - 1), lambda i: (i == 0) | (F.get(F.col("e"), i)["kind"] == 0))
+    grouped = grouped.withColumn("opens", F.when(F.exists("e", lambda e: e["kind"] != 0), opens))
     plain = F.transform("e", lambda e: F.struct(e["role"].alias("role"), e["text"].alias("text")))
-    empty = F.from_json(F.lit("[]"), "array<struct<role:string,text:string>>")
-    folded = F.when(F.exists("e", lambda e: e["kind"] != 0), F.aggregate("e", empty, step)).otherwise(plain)
+    folded = F.when(F.col("opens").isNotNull(), F.transform("opens", message)).otherwise(plain)
     return grouped.select("conv_id", "turn", folded.alias("messages"))
 
 

@@ -7,14 +7,16 @@ size against the source's mean:
     w = min(cap, exp(lambda_source * size / mean_source)),   sum(size * w) = target_source
 
 Newton steps, kept inside a bracket that halves where a step would leave it, solve all sources at once, each on its own row: the
-sizes of a source enter as at most a few hundred classes (64 to an octave, exact below 64), counted by one distributed
-aggregation. Rates become copies from the largest class to the smallest: each class takes the whole number of extra copies that
+sizes of a source enter as classes (64 to an octave, exact below 64), counted by one distributed aggregation. So a rate is tilted by
+the mean size of the document's class, which is within 1.1 % of its own size: the rate within a factor exp(0.011 |lambda| x) of its own
+tilt, and the source's words, which the classes' sums make up, at the target all the same. Rates become copies from the largest class to the smallest: each class takes the whole number of extra copies that
 meets its share and hands what is over or under to the next, smaller one. Within a class the copies are spread evenly over the
 documents by rank, from counts of hash buckets and row numbers inside them, so no source is ever sorted in one task.
 
 Cases: a null source is a source, last in the order; a null text has no words and one copy at a rate of 1; a source without
-words has target 0; an empty table gives an empty result; repeated rows are rows of their own. Reruns agree: ranks depend on
-ids and sizes alone, and rows equal in these are interchangeable. Columns of the result's names are replaced.
+words has target 0; very long texts are counted whole; an empty table gives an empty result; repeated rows are rows of their own. Reruns agree: ranks depend on
+ids and sizes alone, and rows equal in these are interchangeable. `mix` gives its own columns alone; `repeat_rows` keeps a row's
+columns, of any name, as they are. The targets are made from one row a source, in one task.
 """
 
 from __future__ import annotations
@@ -143,7 +145,7 @@ def source_key(source: Column) -> Column:
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, whole_rows: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken (copies * size) of each row; with whole_rows, its columns as _row."""
-    row = [F.struct(*[F.col(c) for c in docs.columns]).alias("_row")] if whole_rows else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole_rows else []
     rows = docs.select(F.col(doc_id).alias("_id"), source_key(F.col(source)).alias("_source"), word_count(F.col(text)).alias("size"), *row)
     rows = rows.withColumn("_c", size_class(F.col("size"))).withColumn("_b", F.pmod(F.xxhash64("_id", F.lit(29)), F.lit(BUCKETS)).cast("int"))
     rows = rows if whole_rows else cut(rows)
@@ -171,5 +173,5 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
 def repeat_rows(docs: DataFrame, **options) -> DataFrame:
     """docs with each row as often as the mix takes it; the columns stay as they are."""
     out = mix(docs, whole_rows=True, **options)
-    rows = out.select(F.explode(F.sequence(F.lit(1), F.when(F.col("copies") > 0, F.col("copies")).cast("int"))), F.col("_row.*"))
-    return rows.select(*docs.columns)
+    rows = out.select(F.explode(F.sequence(F.lit(1), F.when(F.col("copies") > 0, F.col("copies")).cast("int"))), "_row")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
