@@ -9,8 +9,8 @@ size against the source's mean:
 Newton steps, kept inside a bracket that halves where a step would leave it, solve all sources at once, each on its own row: the
 sizes of a source enter as classes (64 to an octave, exact below 64), counted by one distributed aggregation. So a rate is tilted by
 the mean size of the document's class, which is within 1.1 % of its own size: the rate within a factor exp(0.011 |lambda| x) of its own
-tilt, and the source's words, which the classes' sums make up, at the target all the same. Rates become copies from the largest class to the smallest: each class takes the whole number of extra copies that
-meets its share and hands what is over or under to the next, smaller one. Within a class the copies are spread evenly over the
+tilt, and the source's words, which the classes' sums make up, at the target all the same. Rates become copies from the largest class to the smallest: each class takes the whole number of copies more, or
+less, that meets its share and hands what is over or under to the next, smaller one. Within a class the copies are spread evenly over the
 documents by rank, from counts of hash buckets and row numbers inside them, so no source is ever sorted in one task.
 
 Cases: a null source is a source, last in the order; a null text has no words and one copy at a rate of 1; a source without
@@ -120,7 +120,7 @@ def rates(size_mean: Column, mean: Column, lam: Column, cap: int = CAP) -> Colum
 
 
 def _plan(solved: DataFrame, cap: int) -> DataFrame:
-    """(source, c, n, base, extra): each class's copies for all and its number of extra ones, the carry going down the sizes."""
+    """(source, c, n, base, extra): each class's copies for all and its number of copies more or less, the carry going down the sizes."""
     down = F.sort_array(F.col("h"), asc=False)
 
     def one(s: Column, e: Column) -> Column:
@@ -129,7 +129,7 @@ def _plan(solved: DataFrame, cap: int) -> DataFrame:
         base = F.least(F.floor(rate), F.lit(cap)).cast("int")
         want = e["m"] * rate + s["carry"] - base * e["m"]
         room = e["n"] * (F.lit(cap).cast("long") - base)
-        extra = F.when(mean > 0, F.greatest(F.lit(0), F.least(room, F.round(want / mean).cast("long")))).otherwise(F.lit(0).cast("long"))
+        extra = F.when(mean > 0, F.greatest(-base * e["n"], F.least(room, F.round(want / mean).cast("long")))).otherwise(F.lit(0).cast("long"))
         done = F.struct(e["c"].alias("c"), e["n"].alias("n"), base.alias("base"), extra.cast("long").alias("extra"))
         return F.struct((want - extra * mean).alias("carry"), F.concat(s["plan"], F.array(done)).alias("plan"))
 
