@@ -79,6 +79,15 @@ class Tree:
     #: (node, text) in page order; node -1 - k marks the edge of block element k.
     runs: list[tuple[int, str]] = field(default_factory=list)
 
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters, and those in links, of each node with all below it."""
+        chars, linked = np.array([x.chars for x in self.nodes], float), np.array([x.linked for x in self.nodes], float)
+        for i in range(len(self.nodes) - 1, 0, -1):  # children come after their parents
+            p = self.nodes[i].parent
+            chars[p] += chars[i]
+            linked[p] += linked[i]
+        return chars, linked
+
 
 class _Builder(HTMLParser):
     def __init__(self):
@@ -193,12 +202,7 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     A paragraph or a list item doesn't: it follows its parent, and hundreds of them must not outvote what their region says.
     """
-    n = len(t.nodes)
-    chars, linked = np.array([x.chars for x in t.nodes], float), np.array([x.linked for x in t.nodes], float)
-    for i in range(n - 1, 0, -1):  # children come after their parents
-        p = t.nodes[i].parent
-        chars[p] += chars[i]
-        linked[p] += linked[i]
+    chars, linked = t.sums()
     row, col, val = [], [], []
 
     def put(i: int, c: int, v: float = 1.0) -> None:
@@ -206,9 +210,9 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         col.append(c)
         val.append(v)
 
-    kinds = _edge_kind(t).tolist()
+    kinds = _edge_kind(t, chars).tolist()
     for i, x in enumerate(t.nodes):
-        if not kinds[i] and x.tag not in TELLING:
+        if kinds[i] in (0, 3) and x.tag not in TELLING:
             continue
         if (c := _TAG_AT.get(x.tag)) is not None:
             put(i, c)
@@ -228,9 +232,16 @@ def features(t: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(row), np.array(col), np.array(val)
 
 
-def _edge_kind(t: Tree) -> np.ndarray:
+#: Elements that, without a telling name and with all of their parent's text, are its wrapping: they are what it is.
+PLAIN = frozenset("div section".split())
+
+
+def _edge_kind(t: Tree, chars: np.ndarray | None = None) -> np.ndarray:
+    """0: follows its parent; 1, 2: a region, a telling name, or both; 3: a plain wrapping."""
+    chars = t.sums()[0] if chars is None else chars
     named = [any(w in _WORD_AT for w in x.names) for x in t.nodes]
-    return np.array([(x.tag in REGIONS) + k for x, k in zip(t.nodes, named)])
+    wraps = [x.tag in PLAIN and not k and x.parent >= 0 and c == chars[x.parent] > 0 for x, k, c in zip(t.nodes, named, chars)]
+    return np.array([3 if w else (x.tag in REGIONS) + k for x, k, w in zip(t.nodes, named, wraps)])
 
 
 #: The page as a whole is content: what it holds is told against that.
@@ -240,7 +251,7 @@ ROOT = 30.0
 @dataclass
 class TreeModel:
     unary: np.ndarray  # one weight a feature, for the state content
-    edge: np.ndarray  # edge kind x parent state x child state
+    edge: np.ndarray  # edge kind x parent state x child state; the last kind's isn't learned
 
     def potentials(self, t: Tree) -> tuple[np.ndarray, np.ndarray]:
         row, col, val = features(t)
@@ -340,11 +351,12 @@ def train(pages: int = TRAINING_PAGES, sweeps: int = SWEEPS, seed: int = SEED, f
         row, col, val = features(t)
         kind, up = _edge_kind(t), np.array([max(x.parent, 0) for x in t.nodes])
         told = np.bincount(col, weights=val * y[row], minlength=N_FEATURES)
-        pairs = np.zeros((3, 2, 2))
+        pairs = np.zeros((4, 2, 2))
         np.add.at(pairs, (kind[1:], y[up[1:]], y[1:]), 1.0)
         data.append((t, row, col, val, kind, told, pairs))
-    model = TreeModel(np.zeros(N_FEATURES), np.zeros((3, 2, 2)))
-    seen_u, seen_e = np.full(N_FEATURES, 1e-6), np.full((3, 2, 2), 1e-6)
+    model = TreeModel(np.zeros(N_FEATURES), np.zeros((4, 2, 2)))
+    model.edge[3] = ((ROOT / 2, -ROOT / 2), (-ROOT / 2, ROOT / 2))
+    seen_u, seen_e = np.full(N_FEATURES, 1e-6), np.full((4, 2, 2), 1e-6)
     for s in range(sweeps):
         for t, row, col, val, kind, told, pairs in data[s % 4 :: 4]:
             content, both, _ = model.marginals(t, with_pairs=True)
@@ -352,6 +364,7 @@ def train(pages: int = TRAINING_PAGES, sweeps: int = SWEEPS, seed: int = SEED, f
             e = pairs.copy()
             np.add.at(e, kind[1:], -both[1:])
             e -= 2e-3 * model.edge
+            e[3] = 0
             e[0] = (e[0] + e[0][::-1, ::-1]) / 2  # what only follows its parent leans to neither state
             seen_u += u * u
             seen_e += e * e
