@@ -349,7 +349,7 @@ def test_production_limits_remove_a_line_and_reject_a_document(spark):
     got = line_frequency.apply_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows)
-    assert [by[i].n_removed for i in range(12)] == [63, 3, 3, 3, 3, 3, 0, 0, 0, 0, 0, 0]
+    assert [by[i].n_removed for i in range(12)] == [60, 3, 3, 3, 3, 3, 0, 0, 0, 0, 0, 0]
     assert not by[0].kept and all(by[i].kept and not by[i].base_failed for i in range(1, 100))
     assert all(by[200 + i].n_removed == 14 and not by[200 + i].kept for i in range(8))  # four of eight: over three and over 5 %
 
@@ -421,7 +421,7 @@ def test_url_cascade_is_exact(spark, monkeypatch):
             assert (got[i].host, got[i].path, got[i].verdict) == (h, "/a", "block" if bad else "allow")
         assert [(got[k].host, got[k].path, got[k].rule, got[k].verdict) for k in (-1, -2, -3, -4)] == [("", "", None, "allow")] * 3 + [("org", "/z", "org/", "allow")]
     suffixes = spark.createDataFrame([(x,) for h in hosts for x in (h, h.split(".", 1)[1])], "key string")
-    assert len(url_filter.build_cascade(keys, suffixes.join(keys, "key", "left_anti").distinct())) > 3
+    assert len(url_filter.build_cascade(keys, suffixes.join(keys, "key", "left_anti").distinct())) > 2
 
 
 def test_the_plan_of_the_url_filter_does_not_grow_with_the_list(spark):
