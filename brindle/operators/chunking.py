@@ -279,18 +279,34 @@ def by_records(text: str) -> Iterator[Chunk]:
         yield from by_headings(text)
 
 
-_SYMBOL = re.compile(
-    r"\s*(?:(?:export\s+)?(?:default\s+)?(?:pub\s+)?(?:public|private|protected|internal|static|final|abstract|async|override|open|sealed|virtual|\s)*)"
-    r"(?:(?:def|class|function|fn|struct|enum|trait|impl|interface|func)\s+(?:\([^)]*\)\s*)?(?P<name>[A-Za-z_$][\w$]*)"
-    r"|(?:const|let|var)\s+(?P<arrow>[A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?\(?[^=]*\)?\s*=>)"
-    r"|\s*(?:public|private|protected|internal|static|final|abstract|override)\b.*\b(?P<member>[A-Za-z_]\w*)\s*[({:]"
+_NAME = r"(?P<name>[A-Za-z_$][A-Za-z0-9_$]*)"
+_ACCESS = "public|private|protected|internal"
+#: How a line begins a definition, a language family at a time: words that may stand before, the keyword, the name.
+_DEFINITIONS = tuple(
+    re.compile(p)
+    for p in (
+        rf"\s*(?:async )?(?:def|class) +{_NAME}",  # Python
+        rf"\s*(?:export )?(?:default )?(?:abstract )?(?:async )?(?:function\*? *|class +|interface +|enum +){_NAME}",  # JavaScript, TypeScript
+        rf"\s*(?:export )?(?:const|let|var) +{_NAME} *(?::[^=]+)?= *(?:async *)?(?:\([^()]*\)|[A-Za-z_$][A-Za-z0-9_$]*) *(?::[^=]+)?=>",
+        rf"func +(?:\([^()]*\) *)?{_NAME}",  # Go
+        rf"\s*(?:pub(?:\([a-z]+\))? )?(?:async |unsafe |const )*(?:fn|struct|enum|trait|mod) +{_NAME}",  # Rust
+        rf"\s*(?:unsafe )?impl(?: *<[^>]*>)? +{_NAME}",
+        rf"\s*(?:(?:{_ACCESS}|static|final|abstract|sealed|open|data|inner|partial) +)*(?:class|interface|enum|record|object|struct) +{_NAME}",  # JVM, C#
+        rf"\s*(?:(?:{_ACCESS}|override|suspend|open|inline) +)*fun +{_NAME}",
+        rf"\s*(?:{_ACCESS}|static)\b[^=;(]*?{_NAME} *\(",  # a method's type and name
+    )
 )
 
 
+def symbol_of(line: str) -> str | None:
+    """The name of the definition that the line begins; None if it begins none."""
+    return next((m["name"] for p in _DEFINITIONS if (m := p.match(line))), None)
+
+
 def by_symbols(text: str) -> Iterator[Chunk]:
     """A chunk for each definition that a line begins, and one for what stands before the first."""
     lines = text.split("\n")
-    starts = [(i, m["name"] or m["arrow"] or m["member"]) for i, x in enumerate(lines) if (m := _SYMBOL.match(x))]
+    starts = [(i, name) for i, x in enumerate(lines) if (name := symbol_of(x))]
     if not starts:
         for part in split_words(text, 900, 80):
             yield Chunk(part, ["code"], kind="code")
@@ -420,6 +436,10 @@ CHUNKERS: dict[str, Callable[[str], Iterator[Chunk]]] = {
 }
 
 
+#: Chunks that a task holds before it hands them on.
+CHUNKS_AT_A_TIME = 2000
+
+
 def chunk_documents(docs: DataFrame, keep: list[str], text: str = "text", mode: str | Column = "markdown_docs_v1") -> DataFrame:
     """The columns `keep` and one row for each chunk; each row's mode picks its chunker. A null text has no chunks."""
     mode = F.lit(mode) if isinstance(mode, str) else mode
@@ -427,14 +447,19 @@ def chunk_documents(docs: DataFrame, keep: list[str], text: str = "text", mode:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", " + CHUNK
     names = [*keep, *(c.split()[0] for c in CHUNK.split(", "))]
 
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=names).astype({c: "Int32" for c in ("ordinal", "token_count", "first_line", "last_line", "page")})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
         for b in batches:
-            out = []
             for *own, how, body in b.itertuples(index=False, name=None):
                 for i, c in enumerate(CHUNKERS.get(how, by_headings)(body) if body else ()):
                     out.append((*own, i, c.text, c.path, c.tokens, c.first, c.last, c.page, c.kind, c.severity))
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({c: "Int32" for c in ("ordinal", "token_count", "first_line", "last_line", "page")})
+                    if len(out) >= CHUNKS_AT_A_TIME:
+                        yield frame(out)
+                        out = []
+        yield frame(out)
 
     return rows.mapInPandas(run, schema)
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from brindle.functions import text as tx
 from brindle.functions.hashing import stable_id
+from brindle.lineage import cut
 
 # What is looked for in a decision's text (kind, pattern, group of the key).
 SIGNALS = (
@@ -133,27 +134,37 @@ def two_hop(seeds: DataFrame, edges: DataFrame, through: str, kind: str) -> Data
 def descendants(seeds: DataFrame, edges: DataFrame, depth: int = 4, kind: str = "CONTAINS") -> DataFrame:
     """(seed, id, distance): nodes below the seeds up to a depth, each at its least distance.
 
-    One join a level over nodes not seen yet, so cycles end by themselves.
+    One join a level over nodes not seen yet, so cycles end by themselves; each level is a table of its own, so a plan holds one.
     """
     down = edges.where(F.col("type") == kind).select(F.col("source").alias("id"), F.col("target").alias("next"))
-    seen = front = seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("distance"))
+    front = seen = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("distance")).distinct())
     for d in range(1, depth + 1):
         step = front.join(down, "id").select("seed", F.col("next").alias("id")).distinct()
-        front = step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("distance", F.lit(d))
-        seen = seen.unionByName(front)
+        front = cut(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("distance", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front)) if d % 8 == 0 else seen.unionByName(front)
     return seen.where("distance > 0")
 
 
 def ancestors(nodes: DataFrame, parents: DataFrame, depth: int = 16) -> DataFrame:
-    """(id, ancestor, distance) by a recursive query (G19, G22); parents has (id, parent). Paths longer than depth end there."""
-    spark = nodes.sparkSession
-    nodes.select("id").createOrReplaceTempView("_nodes")
-    parents.select("id", "parent").createOrReplaceTempView("_parents")
-    return spark.sql(f"""
-        WITH RECURSIVE up(id, ancestor, distance) AS (
-            SELECT n.id, p.parent, 1 FROM _nodes n JOIN _parents p ON n.id = p.id
-            UNION ALL SELECT up.id, p.parent, up.distance + 1 FROM up JOIN _parents p ON up.ancestor = p.id WHERE up.distance < {int(depth)})
-        SELECT id, ancestor, min(distance) AS distance FROM up WHERE id <> ancestor GROUP BY id, ancestor""")
+    """(id, ancestor, distance) up to a depth, each at its least distance (G19, G22); parents has (id, parent).
+
+    By doubling: what is known up to distance n, extended from where it ends by all that is known from there, reaches 2n. So a
+    depth of 200 takes eight rounds, cycles and repeated paths cost nothing, and each round is a table.
+    """
+    known = cut(parents.where("id <> parent").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("distance")).distinct())
+    reach = 1
+    while reach < depth:
+        ends = known.where(F.col("distance") == reach)
+        on = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("further"), F.col("distance").alias("more"))
+        longer = ends.join(on, "ancestor").select("id", F.col("further").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        longer = longer.where((F.col("distance") <= depth) & (F.col("id") != F.col("ancestor"))).groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
+        new = cut(longer.join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti"))
+        if new.isEmpty():
+            break
+        known, reach = cut(known.unionByName(new)), 2 * reach
+    return known.join(nodes.select("id").distinct(), "id", "left_semi").select("id", "ancestor", "distance")
 
 
 def nearest_of_type(closure: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
@@ -219,14 +230,17 @@ def ordinance_edges(ordinances: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def manifest_parents(rows: DataFrame, group: str, position: str, level: str) -> DataFrame:
-    """Adds parent_position: the nearest row before it of a higher rank (W12), by one window for each rank."""
-    levels = [r[0] for r in rows.select(level).distinct().orderBy(level).limit(64).collect()]
-    before = Window.partitionBy(group).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
-    out = F.lit(None).cast(rows.schema[position].dataType)
-    for k, own in enumerate(levels):
-        higher = F.last(F.when(F.col(level).isin(levels[:k]), F.col(position)), ignorenulls=True).over(before) if k else F.lit(None)
-        out = F.when(F.col(level) == own, higher).otherwise(out)
-    return rows.withColumn("parent_position", out)
+    """Adds parent_position: the nearest row before it of a higher rank (W12), whatever the number of levels.
+
+    A row speaks to every lower rank that its group has, and asks at its own: one window over (group, rank).
+    """
+    ranks = rows.groupBy(F.col(group).alias("_g")).agg(F.array_distinct(F.collect_set(level)).alias("_ranks"))  # levels of a group
+    mine = F.filter("_ranks", lambda k: k >= F.col(level))
+    spread = rows.join(ranks, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    spread = spread.withColumn("_rank", F.explode_outer(mine)).drop("_ranks")
+    before = Window.partitionBy(group, "_rank").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    above = F.last(F.when(F.col(level) < F.col("_rank"), F.col(position)), ignorenulls=True).over(before)
+    return spread.withColumn("parent_position", above).where(F.col("_rank").eqNullSafe(F.col(level))).drop("_rank")
 
 
 def violations(nodes: DataFrame, edges: DataFrame, node_types: list[str], edge_types: list[str], max_nodes: int, max_edges: int) -> DataFrame:
@@ -248,10 +262,15 @@ def generation_differences(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select(*cols).exceptAll(new.select(*cols)).unionByName(new.select(*cols).exceptAll(old.select(*cols)))
 
 
+def partition_digest(row_id: Column) -> Column:
+    """An aggregate that doesn't depend on the order: the sums of two 32-bit parts of each id's SHA-256, so no list of ids is held."""
+    part = lambda at: F.sum(F.conv(F.substring(F.sha2(row_id, 256), at, 8), 16, 10).cast("long"))
+    return F.concat_ws("-", part(1), part(9))
+
+
 def manifest_mismatches(manifest: DataFrame, rows: DataFrame) -> DataFrame:
     """Partitions whose rows differ from the manifest in number or digest (G15): manifest (partition, n, digest), rows (partition, id)."""
-    digest = F.sha2(F.array_join(F.sort_array(F.collect_list("id")), "\n"), 256)
-    have = rows.groupBy("partition").agg(F.count(F.lit(1)).alias("have_n"), digest.alias("have_digest"))
+    have = rows.groupBy("partition").agg(F.count(F.lit(1)).alias("have_n"), partition_digest(F.col("id")).alias("have_digest"))
     return manifest.join(have, "partition", "full").where(~(F.col("n").eqNullSafe(F.col("have_n")) & F.col("digest").eqNullSafe(F.col("have_digest"))))
 
 

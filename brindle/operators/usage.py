@@ -98,7 +98,7 @@ def ingestion_plan(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     high = F.col("level") >= 4
     gate = ~high | F.col("private")
     score = 100 - 7.5 * F.col("position") + F.when(F.col("preferred"), 15).otherwise(0) + F.when(high & F.col("private"), 10).otherwise(0) - F.when(F.col("mock"), 30).otherwise(0) - F.when(~gate, 100).otherwise(0)
-    rows = requests.join(F.broadcast(candidates), "mode").withColumn("allowed", gate).withColumn("score", score.cast("double"))  # a configuration table
+    rows = requests.join(candidates, "mode").withColumn("allowed", gate).withColumn("score", score.cast("double"))  # a configuration table
     w = Window.partitionBy("request_id").orderBy(F.col("allowed").desc(), F.col("score").desc(), "position")
     return rows.withColumn("plan_rank", F.row_number().over(w))
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from brindle.functions import hashing as hs
 from brindle.functions import text as tx
+from brindle.lineage import cut
 from brindle.operators import chunking as ck
 from brindle.operators import context as cx
 from brindle.operators import evaluation as ev
@@ -43,8 +44,8 @@ def dense_topk_per_label(t: Tables):
 
 @query("select vec_id, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 6) as score from embeddings")
 def cosine_to_one(t: Tables):
-    one = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
-    return t.embeddings.join(F.broadcast(one)).select("vec_id", F.round(hs.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    one = t.embeddings.where("vec_id = 0").agg(F.first("embedding")).scalar()
+    return t.embeddings.withColumn("q", one).select("vec_id", F.round(hs.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
 
 
 # ---- sparse and fusion --------------------------------------------------------------------------------------------------
@@ -58,9 +59,8 @@ b as (select query_id, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) *
 def _bm25(t: Tables, k: int) -> DataFrame:
     chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
-    index = rt.postings(chunks).persist()
-    out = rt.bm25(queries, index, rt.collection_size(index, chunks), 1 << 30)
-    return rt.top_k(out.drop("rank").withColumn("score", F.round("score", 6)), k)
+    index = cut(rt.postings(chunks))
+    return rt.bm25(queries, index, rt.collection_size(index, chunks), k, places=6)
 
 
 @query(f"with {_BM25} select query_id, chunk_id, score from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from b) where r <= 10")
@@ -101,7 +101,7 @@ def rrf_weighted(t: Tables):
 
 @query(f"with {_LISTS} select query_id, chunk_id, round(case when a <= 8 then score + 1.0 / (60 + a) else 0 end + case when b <= 8 then score + 1.0 / (60 + b) else 0 end, 6) as score from l where a <= 8 or b <= 8")
 def multi_query_merge(t: Tables):
-    return rt.merge_lists(_ranked_orders(t), 1 << 30).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    return rt.merge_lists(_ranked_orders(t), None).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query(f"with {_LISTS} select * from (select query_id, chunk_id, round(least(1, greatest(0, score / max(score) over (partition by query_id))), 6) as score from l where a <= 8) where score >= 0.5")
@@ -320,10 +320,10 @@ def graph_expand_one_hop(t: Tables):
     return gr.expand(seeds, edges).select("far", "type", "edge_id")
 
 
-@query("""with e as (select l_orderkey as id, l_suppkey as via from lineitem where l_returnflag = 'R') select distinct a.id, b.id as related from e a join e b on a.via = b.via and a.id <> b.id where a.id <= 20""")
+@query("""with e as (select l_orderkey as id, l_suppkey as via from lineitem where l_returnflag = 'R') select distinct a.id, b.id as related from e a join e b on a.via = b.via and a.id <> b.id where a.id % 50 = 0""")
 def graph_shared_node(t: Tables):
     e = t.lineitem.where("l_returnflag = 'R'").select(F.lit("CITES").alias("type"), F.col("l_orderkey").alias("source"), F.col("l_suppkey").alias("target"))
-    seeds = t.orders.where("o_orderkey <= 20").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("rank"))
+    seeds = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("rank"))
     return gr.two_hop(seeds, e, "CITES", "cited_with").select("id", "related").distinct()
 
 
@@ -366,8 +366,7 @@ def subtree_hashes(t: Tables):
 @query("select p, count(*)::bigint as n from (select o_orderkey % 3 as p from orders) group by 1 having count(*) <> 500")
 def manifest_counts(t: Tables):
     rows = t.orders.select((F.col("o_orderkey") % 3).alias("partition"), F.col("o_orderkey").cast("string").alias("id"))
-    digest = F.sha2(F.array_join(F.sort_array(F.collect_list("id")), "\n"), 256)
-    manifest = rows.groupBy("partition").agg(F.lit(500).cast("long").alias("n"), digest.alias("digest"))
+    manifest = rows.groupBy("partition").agg(F.lit(500).cast("long").alias("n"), gr.partition_digest(F.col("id")).alias("digest"))
     return gr.manifest_mismatches(manifest, rows).select(F.col("partition").alias("p"), F.col("have_n").alias("n"))
 
 
@@ -425,7 +424,7 @@ def hybrid_search(t: Tables):
     """Benchmark texts searched over word windows of the documents: hash vectors and BM25 fused, reranked, diversified, redacted."""
     chunks = ck.chunk_words(t.documents.select("doc_id", "text"))
     chunks = chunks.select(hs.stable_id("chk", F.col("doc_id"), F.col("ordinal")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "text")
-    chunks = chunks.withColumn("embedding", hs.hash_embedding(F.col("text"), 64)).persist()  # the ingested collection, read by each arm
+    chunks = cut(chunks.withColumn("embedding", hs.hash_embedding(F.col("text"), 64)))  # the ingested collection, read by each arm
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text").withColumn("embedding", hs.hash_embedding(F.col("text"), 64))
     found = rt.search(queries, chunks, 10)
     return found.select("query_id", "rank", "chunk_id", "document_id", F.round("score", 6).alias("score"), tx.redact(tx.snippet(F.col("text"), 200)).alias("snippet"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from brindle.functions import text as tx
+from brindle.lineage import cut
 from brindle.operators.filters import blocked_page
 
 
@@ -55,11 +56,13 @@ def captures(manifest: DataFrame, bodies: DataFrame, url: str = "url", html: str
 
 def crawl(seeds: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
     """(url, depth): what is reached over saved pages' links (source, target) from the seeds, breadth first."""
-    seen = front = seeds.select("url", F.lit(0).alias("depth")).distinct()
+    front = seen = cut(seeds.select("url", F.lit(0).alias("depth")).distinct())
     for d in range(1, rounds + 1):
         step = front.join(links, front["url"] == links["source"]).select(F.col("target").alias("url")).distinct()
-        front = step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
+        front = cut(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front)) if d % 8 == 0 else seen.unionByName(front)
     return seen
 
 
