@@ -133,3 +133,21 @@ def html_tables(page: Column) -> Column:
         return pd.Series(out)
 
     return run(page)
+
+
+def markup_tables(text: Column) -> Column:
+    """array<array<array<string>>>: the Markdown tables of a text outside code fences, head first, then its outermost HTML tables."""
+
+    @F.pandas_udf("array<array<array<string>>>")
+    def run(texts: pd.Series) -> pd.Series:
+        from brindle.operators.chunking import markdown_tables
+
+        out = []
+        for t in texts:
+            parser = _Tables()
+            parser.feed(t or "")
+            pipes = [[heads, *[[r[h] for h in heads] for r in rows]] for _, heads, rows, _ in markdown_tables(t or "")]
+            out.append(pipes + [x for x in parser.tables if len(x) >= 2])
+        return pd.Series(out)
+
+    return run(text)
