@@ -444,7 +444,7 @@ def chunk_documents(docs: DataFrame, keep: list[str], text: str = "text", mode:
     """The columns `keep` and one row for each chunk; each row's mode picks its chunker. A null text has no chunks."""
     mode = F.lit(mode) if isinstance(mode, str) else mode
     rows = docs.select(*keep, mode.alias("_mode"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", " + CHUNK
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), CHUNK])
     names = [*keep, *(c.split()[0] for c in CHUNK.split(", "))]
 
     def frame(out: list[tuple]) -> pd.DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from brindle.functions import text as tx
 from brindle.lineage import cut
+from brindle.operators import code_pages as cp
 from brindle.operators import evaluation as ev
 from brindle.operators import evidence as ed
 from brindle.operators import graph as gr
@@ -244,3 +245,26 @@ def ingest_and_search(t: Tables):
     ig.ingest(docs, path)
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     return ig.stored_search(t.spark, path, queries, 5, Principal("t", "i", max_level=2)).select("query_id", "rank", "chunk_id", "document_id", F.round("score", 6).alias("score"), "level")
+
+
+@query("""with k as (select o_orderkey as k, o_custkey as c from orders)
+select 'CONTAINS' as type, 'Chapter ' || c as source, '2.10.' || k as target from k
+union all select 'REFERENCES', '2.10.' || k, '2.10.' || (k + 1) from k
+union all select 'DEFINES', '2.10.' || k, 'Term ' || k from k union all select 'HAS_ORDINANCE_HISTORY', '2.10.' || k, 'Ordinance ' || (10000 + c) from k""")
+def code_page_graph(t: Tables):
+    """A chapter for each customer, with a section for each order: each defines a term, names an ordinance and refers to the next section."""
+    k, root = F.col("o_orderkey").cast("string"), "https://code.example/TMC"
+    body = F.concat(
+        F.lit("<html><body><nav><a href='/x'>x</a></nav><main><h1>2.10."), k, F.lit(" About it</h1><p>“Term "), k, F.lit("” means a thing &amp; more.</p><p>It goes on.</p><p>(Ord. "),
+        (F.col("o_custkey") + 10000).cast("string"), F.lit(" § 3, 1-2-2020.)</p><p>See <a href='/TMC/2.10."), (F.col("o_orderkey") + 1).cast("string"), F.lit("#a'>next</a>.</p><p>Privacy Policy</p></main></body></html>"),
+    )
+    pages = t.orders.select(F.concat(F.lit(f"{root}/2.10."), k).alias("url"), body.alias("html"))
+    links = F.array_join(F.transform(F.collect_list("o_orderkey"), lambda x: F.concat(F.lit("<li><a href='/TMC/2.10."), x.cast("string"), F.lit("'>s</a></li>"))), "")
+    who = F.col("o_custkey").cast("string")
+    chapter = t.orders.groupBy("o_custkey").agg(links.alias("links"))
+    chapter = chapter.select(F.concat(F.lit(f"{root}/ch"), who).alias("url"), F.concat(F.lit("<main><h2>Chapter "), who, F.lit(" All</h2><ul>"), "links", F.lit("</ul></main>")).alias("html"))
+    nodes, edges = cp.code_graph(cut(cp.page_model(pages.unionByName(chapter), root)))
+    name = F.when(F.col("type") == "chapter", F.concat(F.lit("Chapter "), F.regexp_replace("label", " All$", ""))).otherwise(F.regexp_replace("label", " About it$", ""))
+    named = nodes.select("id", name.alias("name"))
+    a, b = (named.select(F.col("id").alias(e), F.col("name").alias(f"_{e}")) for e in ("source", "target"))
+    return edges.join(a, "source").join(b, "target").select("type", F.col("_source").alias("source"), F.col("_target").alias("target"))

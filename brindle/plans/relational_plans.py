@@ -283,13 +283,13 @@ def url_reconcile(t: Tables):
     return lc.url_gaps(even.select("page_id"), third.where("page_id % 2 = 1 and page_id % 3 <> 0 or page_id % 6 = 0").select("page_id"), "page_id")
 
 
-@query("""with e as (select doc_id as span_id, doc_id, substr(text, 1, 40) as quote from documents where doc_id % 3 = 0), c as (select doc_id, 0 as k, substr(text, 1, 200) as text from documents union all select doc_id, 1, substr(text, 201, 4000) from documents),
+@query("""with e as (select doc_id as span_id, doc_id, substr(text, 1, 40) as quote from documents), c as (select doc_id, 0 as k, substr(text, 1, 200) as text from documents union all select doc_id, 1, substr(text, 201) from documents),
 h as (select span_id, k, count(*) over (partition by span_id) as n from e join c using (doc_id) where contains(text, quote)) select span_id, k::int as k from h where n = 1""")
 def quote_binding(t: Tables):
     d = t.documents
-    c = d.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("k"), F.substring("text", 1, 200).alias("text")).unionByName(d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("k"), F.substring("text", 201, 4000).alias("text")))
+    c = d.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("k"), F.substring("text", 1, 200).alias("text")).unionByName(d.select(F.col("doc_id").alias("document_id"), F.lit(1).alias("k"), F.substring(F.col("text"), F.lit(201), F.length("text")).alias("text")))
     c = c.withColumns({"page_start": F.lit(1), "page_end": F.lit(3)})
-    e = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("span_id"), F.col("doc_id").alias("document_id"), F.lit(2).alias("page"), F.substring("text", 1, 40).alias("quote"))
+    e = d.select(F.col("doc_id").alias("span_id"), F.col("doc_id").alias("document_id"), F.lit(2).alias("page"), F.substring("text", 1, 40).alias("quote"))
     return gr.bind_quotes(e, c).select("span_id", "k")
 
 

@@ -146,11 +146,14 @@ def symbol_boost(t: Tables):
     return rt.symbol_boost(c, 2.0).select("query_id", "chunk_id", "rank", "symbol_matches")
 
 
-@query()
+@query(f"""with {_BM25}, top as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from b) where r <= 10),
+x as (select query_id, chunk_id, score, {_tokens('i.text')} as q, {_tokens('d.text')} as k from top join benchmark i on i.item_id = query_id join documents d on d.doc_id = chunk_id),
+y as (select query_id, chunk_id, score * case when contains(' ' || array_to_string(k, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') then 3.0 when len(list_intersect(list_distinct(q), k)) = len(list_distinct(q)) then 1.5 else 1.0 end as s from x)
+select query_id, chunk_id, row_number() over (partition by query_id order by s desc, chunk_id)::int as rank, round(s, 2)::double as score from y""")
 def text_query_boosts(t: Tables):
     q = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     chunks = t.documents.select(F.col("doc_id").alias("chunk_id"), "text")
-    return rt.text_query(q, chunks, _bm25(t, 10)).select("query_id", "chunk_id", "rank", F.round("score", 4).alias("score"))
+    return rt.text_query(q, chunks, _bm25(t, 10)).select("query_id", "chunk_id", "rank", F.round("score", 2).alias("score"))
 
 
 @query(r"""with d as (select doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' as t from documents)

@@ -258,19 +258,33 @@ def chunk_table_records(t: Tables):
     return ck.record_groups(t.part.select("p_partkey", "p_brand"), ["p_partkey", "p_brand"], ["p_partkey"])
 
 
-@query()
-def chunk_structured(t: Tables):
-    """JSON, delimited and Markdown tables by the dispatcher."""
-    j = t.nation.groupBy("n_regionkey").agg(F.to_json(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("text"))
-    c = t.region.select((F.col("r_regionkey") + 100).alias("n_regionkey"), F.concat(F.lit("key,name\n"), F.col("r_regionkey").cast("string"), F.lit(","), "r_name").alias("text"))
-    m = t.region.select((F.col("r_regionkey") + 200).alias("n_regionkey"), F.concat(F.lit("Regions\n\n| key | name |\n|---|---|\n| "), F.col("r_regionkey").cast("string"), F.lit(" | "), "r_name", F.lit(" |")).alias("text"))
-    return ck.chunk_documents(j.unionByName(c).unionByName(m), ["n_regionkey"], mode="tables_csv_json_v1").select("n_regionkey", "ordinal", "text", "kind")
+_RECORDS = """'Schema fields: ' || {f} || chr(10) || 'Record range: ' || min(i) || '-' || max(i) || chr(10) || string_agg('Record ' || i || ': ' || {r}, chr(10) order by i)"""
 
 
-@query()
+@query(f"""with j as (select p_brand as id, p_partkey, p_size, row_number() over (partition by p_brand order by p_partkey) as i from part),
+c as (select 'n' || s_nationkey as id, s_suppkey, s_name, row_number() over (partition by s_nationkey order by s_suppkey) as i from supplier),
+m as (select 'r' || n_regionkey as id, n_nationkey, n_name, row_number() over (partition by n_regionkey order by n_nationkey) as i from nation)
+select id, ((i - 1) // 25)::int as ordinal, {_RECORDS.format(f="'p_partkey, p_size'", r="'p_partkey: ' || p_partkey || ' | p_size: ' || p_size")} as text, 'records' as kind from j group by 1, 2
+union all select id, ((i - 1) // 25)::int, {_RECORDS.format(f="'key, name'", r="'key: ' || s_suppkey || ' | name: ' || s_name")}, 'records' from c group by 1, 2
+union all select id, ((i - 1) // 25)::int, 'Markdown table 1: Regions' || chr(10) || {_RECORDS.format(f="'key, name'", r="'key: ' || n_nationkey || ' | name: ' || n_name")}, 'markdown_table' from m group by 1, 2""")
+def chunk_structured(t: Tables):
+    """JSON, delimited and Markdown tables by the dispatcher."""
+    rows = lambda key, cols, line: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, *cols))), line), "\n")
+    j = t.part.groupBy(F.col("p_brand").alias("id")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("p_partkey", "p_size")))).alias("text"))
+    own = lambda x, mark: F.concat(x["k"].cast("string"), F.lit(mark), x["v"])
+    c = t.supplier.select(F.concat(F.lit("n"), "s_nationkey").alias("id"), F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    c = c.groupBy("id").agg(F.concat(F.lit("key,name\n"), rows("k", ["v"], lambda x: own(x, ","))).alias("text"))
+    m = t.nation.select(F.concat(F.lit("r"), "n_regionkey").alias("id"), F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    m = m.groupBy("id").agg(F.concat(F.lit("Regions\n\n| key | name |\n|---|---|\n"), rows("k", ["v"], lambda x: F.concat(F.lit("| "), own(x, " | "), F.lit(" |")))).alias("text"))
+    return ck.chunk_documents(j.unionByName(c).unionByName(m), ["id"], mode="tables_csv_json_v1").select("id", "ordinal", "text", "kind")
+
+
+@query("""with p as (select p_partkey, replace(p_brand, '#', '_') as c from part)
+select p_partkey, 0 as ordinal, 'import os' as text, 'module_preamble' as symbol from p union all select p_partkey, 1, 'def f_' || p_partkey || '(x):' || chr(10) || '    return x', 'f_' || p_partkey from p
+union all select p_partkey, 2, 'class ' || c || ':' || chr(10) || '    pass', c from p""")
 def chunk_code(t: Tables):
-    code = F.concat(F.lit("import os\n\ndef f_"), F.col("n_nationkey").cast("string"), F.lit("(x):\n    return x\n\nclass "), F.initcap(F.lower(F.regexp_replace("n_name", " ", ""))), F.lit(":\n    pass\n"))
-    return ck.chunk_documents(t.nation.select("n_nationkey", code.alias("text")), ["n_nationkey"], mode="code_repo_v1").select("n_nationkey", "ordinal", "text", F.array_join("heading_path", "/").alias("symbol"))
+    code = F.concat(F.lit("import os\n\ndef f_"), F.col("p_partkey").cast("string"), F.lit("(x):\n    return x\n\nclass "), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit(":\n    pass\n"))
+    return ck.chunk_documents(t.part.select("p_partkey", code.alias("text")), ["p_partkey"], mode="code_repo_v1").select("p_partkey", "ordinal", "text", F.array_join("heading_path", "/").alias("symbol"))
 
 
 @query(r"""with l as (select l_orderkey, l_linenumber, case when l_linenumber % 3 = 1 then '<!-- page: ' || (l_linenumber + 10) || ' --> a' else 'b' end as text from lineitem)
@@ -280,11 +294,12 @@ def page_forward_fill(t: Tables):
     return ck.fill_pages(t.lineitem.select("l_orderkey", "l_linenumber", text.alias("text")), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "page")
 
 
-@query("""with p as (select l_orderkey, list(l_linenumber order by l_linenumber) as m from lineitem where l_linenumber <> 3 group by l_orderkey)
+@query("""with p as (select l_orderkey, list(l_linenumber + case when l_orderkey % 2 = 0 and l_linenumber > 2 then 1 else 0 end order by l_linenumber) as m from lineitem group by l_orderkey)
 select l_orderkey, len(m)::int as n, m = range(m[1], m[1] + len(m)) as complete from p""")
 def page_marker_sequences(t: Tables):
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda n: F.concat(F.lit("Page "), n.cast("string"), F.lit("\nx"))), "\n")
-    rows = t.lineitem.where("l_linenumber <> 3").groupBy("l_orderkey").agg(ck.page_markers(text).alias("m"))
+    page = F.col("l_linenumber") + F.when((F.col("l_orderkey") % 2 == 0) & (F.col("l_linenumber") > 2), 1).otherwise(0)  # in half of them one is missing
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda n: F.concat(F.lit("Page "), n.cast("string"), F.lit("\nx"))), "\n")
+    rows = t.lineitem.groupBy("l_orderkey").agg(ck.page_markers(text).alias("m"))
     return rows.select("l_orderkey", F.size("m").alias("n"), ck.markers_complete(F.col("m")).alias("complete"))
 
 
@@ -300,14 +315,21 @@ def identities(t: Tables):
     )
 
 
-@query()
+@query("""with h as (select o_orderkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('order-' || o_orderkey)) as h from orders)
+select o_orderkey, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', (strpos('0123456789abcdef', h[17]) - 1) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] as uuid from h""")
 def point_ids(t: Tables):
     return t.orders.select("o_orderkey", hs.uuid5(F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))).alias("uuid"))
 
 
-@query()
+_HASHED = "sha256(unhex(sha256(coalesce(text, ''))) || '\\x00\\x00\\x00\\x{k:02x}'::blob)"
+
+
+@query(f"""with h as (select doc_id, {_HASHED.format(k=0)} || {_HASHED.format(k=1)} as h from documents), v as (select doc_id, [('0x' || h[2 * i + 1 : 2 * i + 2])::int / 127.5 - 1 for i in range(64)] as v from h),
+n as (select doc_id, v, sqrt(list_sum([x * x for x in v])) as n from v) select doc_id, 64 as dimensions, round(v[1] / n, 6) as first, round(v[64] / n, 6) as last, round(list_sum([v[i] / n * i for i in range(1, 65)]), 5) as weighed from n""")
 def hash_embeddings(t: Tables):
-    return t.benchmark.select("item_id", hs.hash_embedding(F.col("text"), 64).alias("embedding"))
+    e = t.documents.select("doc_id", hs.hash_embedding(F.col("text"), 64).alias("e"))
+    weighed = F.aggregate(F.transform("e", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return e.select("doc_id", F.size("e").alias("dimensions"), F.round(F.get("e", F.lit(0)), 6).alias("first"), F.round(F.get("e", F.lit(63)), 6).alias("last"), F.round(weighed, 5).alias("weighed"))
 
 
 @query("""with x as (select lower(p_name) as n, case p_partkey % 9 when 0 then 'README.md' when 1 then 'scan.pdf' when 2 then 'main.rs' when 3 then 'rows.csv' when 4 then 'app.log' when 5 then 'x.unknown' when 6 then 'notes.md' when 7 then '' else 'a.py' end as f, p_partkey from part)
@@ -321,18 +343,18 @@ def mode_router(t: Tables):
 
 
 @query(r"""select o_orderkey, case when o_orderkey % 4 = 0 then 'Smith' when o_orderkey % 4 = 1 then 'State' when o_orderkey % 4 = 2 then 'Matter ' || o_custkey else '' end as first_party,
-    case when o_orderkey % 4 = 1 then 'Doe ' || o_custkey else '' end as second_party, case when o_orderkey % 4 = 3 then 0 when o_orderkey % 4 = 1 then 2 else 1 end::int as n,
+    case when o_orderkey % 4 = 1 then 'Doe ' || o_custkey when o_orderkey % 4 = 0 then 'Jones' else '' end as second_party, case when o_orderkey % 4 = 3 then 0 when o_orderkey % 4 <= 1 then 2 else 1 end::int as n,
     case o_orderkey % 3 when 0 then 'REPEALS' when 1 then 'ADOPTS' else 'AMENDS' end as relation, (20000 + o_orderkey % 900)::varchar as number, case when o_orderkey % 2 = 0 then 'charter_ordinance' else 'ordinance' end as category
-    from (select * replace (o_orderkey as o_orderkey) from orders where o_orderkey % 4 <> 0)""")
+    from orders""")
 def case_and_ordinance_names(t: Tables):
     k = F.col("o_orderkey")
     who = F.col("o_custkey").cast("string")
-    title = F.when(k % 4 == 1, F.concat(F.lit("State  v. Doe "), who)).when(k % 4 == 2, F.concat(F.lit("In re  Matter "), who)).otherwise("Nothing here")
+    title = F.when(k % 4 == 1, F.concat(F.lit("State  v. Doe "), who)).when(k % 4 == 2, F.concat(F.lit("In re  Matter "), who)).when(k % 4 == 0, "Smith v. Jones").otherwise("Nothing here")
     parties = tx.case_parties(title)
     verb = F.when(k % 3 == 0, "repealed by").when(k % 3 == 1, "adopting").otherwise("changed by")
     label = F.concat(F.when(k % 2 == 0, "Charter Ordinance No. ").otherwise("Ordinance No. "), (k % 900 + 20000).cast("string"))
     named = tx.ordinance_identity(label)
-    return t.orders.where(k % 4 != 0).select(
+    return t.orders.select(
         "o_orderkey", F.coalesce(F.get(parties, 0), F.lit("")).alias("first_party"), F.coalesce(F.get(parties, 1), F.lit("")).alias("second_party"), F.size(parties).alias("n"),
         tx.ordinance_relation(verb).alias("relation"), named["number"].alias("number"), named["category"].alias("category"),
     )
@@ -340,9 +362,9 @@ def case_and_ordinance_names(t: Tables):
 
 @query(r"""select item_id, regexp_matches(q, '\b(cited by|citing|citations?|authorit(?:y|ies)|related (?:case|part)|same docket|overruled|precedent)\b', 'i') as intent,
     case when contains(lower(q), 'budget') then 'fiscal' when contains(lower(q), 'cited by') then 'courts' end as lens, q || case when contains(lower(q), 'springfield') then '' else ' Springfield' end as extended
-    from (select item_id, case item_id % 3 when 0 then 'Who is cited by ' when 1 then 'Budget of Springfield ' else '' end || substr(text, 1, 20) as q from benchmark)""")
+    from (select item_id, case item_id % 3 when 0 then 'Who is cited by ' when 1 then 'Budget of Springfield ' else '' end || text as q from benchmark)""")
 def graph_lenses(t: Tables):
-    q = F.concat(F.when(F.col("item_id") % 3 == 0, "Who is cited by ").when(F.col("item_id") % 3 == 1, "Budget of Springfield ").otherwise(""), F.substring("text", 1, 20))
+    q = F.concat(F.when(F.col("item_id") % 3 == 0, "Who is cited by ").when(F.col("item_id") % 3 == 1, "Budget of Springfield ").otherwise(""), "text")
     lens = tx.infer_lens(q, {"fiscal": ["budget"], "grants": ["grant"], "courts": ["cited by"]}, ["fiscal", "courts"])
     return t.benchmark.select("item_id", tx.graph_intent(q).alias("intent"), lens.alias("lens"), tx.extend_query(q, [F.lit("Springfield"), F.lit(None).cast("string")]).alias("extended"))
 
@@ -363,9 +385,9 @@ def page_titles(t: Tables):
     return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.length("html").cast("long").alias("n"))
 
 
-@query()
+@query("""select page_id, 1 as n, '[[["k"],["' || page_id || '"]]]' as tables from pages""")
 def html_tables(t: Tables):
-    page = F.concat(F.lit("<table><tr><th>k</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td></tr></table>"), "html")
+    page = F.concat(F.lit("<table><tr><th>k</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td></tr></table>"), F.regexp_replace("html", "(?i)table", "tab"))
     rows = t.pages.select("page_id", py.html_tables(page).alias("tables"))
     return rows.select("page_id", F.size("tables").alias("n"), F.to_json("tables").alias("tables"))
 
