@@ -280,6 +280,7 @@ def ordinance_relation(text: Column) -> Column:
     return F.when(F.contains(t, F.lit("repeal")), "REPEALS").when(F.contains(t, F.lit("adopt")), "ADOPTS").otherwise("AMENDS")
 
 
+# Words by which a query asks for the graph of courts or of a code.
 COURT_INTENT = r"(?i)\b(cited by|citing|citations?|authorit(?:y|ies)|related (?:case|part)|same docket|overruled|precedent)\b"
 CODE_INTENT = r"(?i)\b(ordinance|amend(?:s|ed|ment)?|repeal(?:s|ed)?|definition|defined|chapter|article|section|table of contents|history)\b"
 
