@@ -109,6 +109,64 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(reach.b) as compone
 from d left join n using (doc_id) join reach on reach.a = d.doc_id group by d.doc_id, n.n"""
 
 
+def hard_negatives() -> str:
+    return """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 5"""
+
+
+def spelling_variants() -> str:
+    return """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step
+), runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents
+), own AS (
+  SELECT doc_id, w, count(*) AS n, string_split(doc_id || ':' || w, '') AS chars FROM runs WHERE length(w) >= 7 GROUP BY doc_id, w
+), hashed AS (
+  SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295,
+    flatten(list_transform(chars, lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [(192 + (ord(c) >> 6))::BIGINT, (128 + (ord(c) & 63))::BIGINT] END))),
+    lambda c, b: xor(c >> 8, step[1 + (xor(c, b) & 255)]))) AS h
+  FROM own, crc
+), noisy AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM hashed
+), vocab AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM noisy WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS MATERIALIZED (
+  SELECT word, n, length(word) AS len, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM vocab)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM less AS a JOIN less AS b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less AS a JOIN vocab AS b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less AS a JOIN vocab AS b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, min_by(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM near GROUP BY word
+), formed AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 10 * v.n THEN form END AS form, CASE WHEN form_n >= 10 * v.n THEN form_n END AS form_n
+  FROM vocab AS v LEFT JOIN best AS b ON v.word = b.word
+), walk AS (
+  SELECT word, word AS at, 0 AS steps FROM formed
+  UNION ALL SELECT w.word, f.form, w.steps + 1 FROM walk AS w JOIN formed AS f ON w.at = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, max_by(w.at, w.steps) AS root, any_value(f.n) AS n, any_value(f.n_near) AS n_near, any_value(f.form_n) AS form_n
+FROM formed AS f JOIN walk AS w ON f.word = w.word GROUP BY f.word, f.form"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination(),
@@ -116,4 +174,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_near_dedup": near_dedup(),
         "op8_url_filter": url_filter(),
         "op9_chat_format": chat_format(),
+        "op11_hard_negatives": hard_negatives(),
+        "op13_spelling_variants": spelling_variants(),
     }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import chat_format, decontaminate, html_extract, line_frequency, mixing, near_dup, rule_classifier, sharding, token_count, url_filter
+from brindle.llm import (
+    chat_format, decontaminate, hard_negatives, html_extract, language_id, line_frequency, mixing, near_dup, rule_classifier, sharding, spelling, token_count, url_filter,
+)
 from brindle.llm.session import table
 
 N_SHARDS = 16
@@ -88,5 +90,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_classifier.classify(docs, model, ["doc_id"])
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, vec = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(vec % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.quantised(vectors, label), vec % 100 == 0)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language_id.train(docs, ~held_out)
+    out = language_id.identify(docs, model, ["doc_id"])
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.document_words(table(spark, sf_dir, "documents"))
+    return spelling.variants(spelling.vocabulary(words))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in sorted(globals().items()) if n.startswith("op") and callable(f)}

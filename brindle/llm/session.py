@@ -54,12 +54,21 @@ def cut(df: DataFrame) -> DataFrame:
 
     What reads it survives the loss of executors. The table stays until `tables_removed` ends around the call, or Python does.
     """
-    spark, at = df.sparkSession, new_folder(df.sparkSession)
+    spark = df.sparkSession
+    df.write.parquet(at := new_table(spark))
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def new_table(spark: SparkSession) -> str:
+    """A folder for a table that grows by `append`, removed as those of `cut` are."""
     if not _TABLES:
         atexit.register(_forget, spark, 0)
-    _TABLES.append(at)
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    _TABLES.append(at := new_folder(spark))
+    return at
+
+
+def append(df: DataFrame, at: str) -> None:
+    df.write.mode("append").parquet(at)
 
 
 def _forget(spark: SparkSession, first: int) -> None:
