@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brindle.functions import text as tx
-from brindle.lineage import cut
+from brindle.lineage import cut, new_folder
 from brindle.operators import code_pages as cp
 from brindle.operators import evaluation as ev
 from brindle.operators import evidence as ed
@@ -240,9 +240,7 @@ def ingest_and_search(t: Tables):
         F.col("doc_id").alias("document_id"), "text", F.lit(1).alias("version"), F.lit("t").alias("tenant_id"), F.lit("i").alias("instance_id"), F.lit(True).alias("active"),
         (F.col("doc_id") % 4).cast("int").alias("level"), none.alias("groups"), none.alias("roles"),
     )
-    at = cut(t.spark.range(1))  # the folder of a store of its own
-    path = at.inputFiles()[0].rsplit("/", 1)[0] + "-store"
-    ig.ingest(docs, path)
+    ig.ingest(docs, path := new_folder(t.spark))
     queries = t.benchmark.select(F.col("item_id").alias("query_id"), "text")
     return ig.stored_search(t.spark, path, queries, 5, Principal("t", "i", max_level=2)).select("query_id", "rank", "chunk_id", "document_id", F.round("score", 6).alias("score"), "level")
 
