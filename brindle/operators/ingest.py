@@ -20,6 +20,7 @@ import json
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +36,8 @@ from brindle.operators.security import Principal, acl_allowed, scoped
 
 SCOPE = ("tenant_id", "instance_id", "active", "level", "groups", "roles")
 KEY = ("tenant_id", "instance_id", "store_id", "document_id")
-_MANIFEST = "segments array<string>, gone array<string>, profiles array<struct<name string, dimensions int>>, commit string"
-#: Rights that a search names as literals, fused rows whose chunks are read by id, rows of a file of vectors.
-FEW_ACLS, FEW_ROWS, FILE_ROWS = 1000, 4000, 200_000
+#: Rights and query terms that a search names as literals, fused rows whose chunks are read by id, rows of a file of vectors.
+FEW_ACLS, FEW_TERMS, FEW_ROWS, FILE_ROWS = 1000, 1000, 4000, 200_000
 Embed = Callable[[Column, str, int], Column]
 
 
@@ -59,19 +59,23 @@ class Store:
     segments: tuple[str, ...] = ()
     gone: tuple[str, ...] = ()
     profiles: tuple[tuple[str, int], ...] = ()
+    commit: str = ""
 
+    @lru_cache(maxsize=64)  # a manifest never changes, and commits differ
     def table(self, name: str) -> DataFrame | None:
         """The table's parts of this manifest's segments, with their segment; None without a segment."""
         if not self.segments:
             return None
         return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/segment={s}" for s in self.segments])
 
+    @lru_cache(maxsize=64)
     def removed(self, name: str) -> DataFrame | None:
         """documents, chunks or terms that are gone though their segments are read."""
         if not self.gone:
             return None
         return self.spark.read.parquet(*[f"{self.path}/gone/{g}/{name}" for g in self.gone])
 
+    @lru_cache(maxsize=64)
     def live(self, name: str) -> DataFrame | None:
         """documents or chunks without those that are gone."""
         rows, gone = self.table(name), self.removed("documents")
@@ -101,8 +105,14 @@ def open_store(spark: SparkSession, path: str, version: int | None = None) -> St
     if not known:
         return Store(spark, path, 0)
     version = known[-1] if version is None else version
-    r = spark.read.schema(_MANIFEST).json(f"{path}/manifest/v{version}").first()
-    return Store(spark, path, version, tuple(r.segments), tuple(r.gone), tuple((p.name, p.dimensions) for p in r.profiles))
+    fs, at = _fs(spark, f"{path}/manifest/v{version}")
+    part = next(s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-"))
+    stream = fs.open(part)
+    try:
+        r = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+    return Store(spark, path, version, tuple(r["segments"]), tuple(r["gone"]), tuple((p["name"], p["dimensions"]) for p in r["profiles"]), r["commit"])
 
 
 def _commit(old: Store, segments: tuple, gone: tuple, profiles: tuple) -> Store:
@@ -118,7 +128,7 @@ def _commit(old: Store, segments: tuple, gone: tuple, profiles: tuple) -> Store:
         if _fs(spark, at)[0].exists(_fs(spark, at)[1]):
             raise Conflict(f"{at} is there already") from e
         raise
-    return Store(spark, old.path, version, tuple(segments), tuple(gone), tuple(profiles))
+    return Store(spark, old.path, version, tuple(segments), tuple(gone), tuple(profiles), own)
 
 
 # ---- writing ------------------------------------------------------------------------------------------------------------
@@ -285,6 +295,7 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
 # ---- reading ------------------------------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=64)
 def _vectors(store: Store, profile: str) -> DataFrame:
     at = [f"{store.path}/vectors/segment={s}/profile={profile}" for s in store.segments]
     return store.spark.read.option("basePath", f"{store.path}/vectors").parquet(*at).drop("profile")
@@ -303,6 +314,7 @@ class Reach:
         return df.join(self.table, "acl", "left_semi") if self.few is None else df.where(F.col("acl").isin(list(self.few)))
 
 
+@lru_cache(maxsize=256)
 def reach(store: Store, principal: Principal) -> Reach:
     docs = scoped(store.live("documents").withColumnRenamed("level", "security_level"), principal).withColumnRenamed("security_level", "level")
     own = docs.where(acl_allowed(F.col("level"), F.col("groups"), F.col("roles"), principal)).groupBy("acl").agg(F.sum("chunks").alias("chunks"), F.sum("terms").alias("terms"))
@@ -344,11 +356,12 @@ def search(
     mine, gone = reach(store, principal), store.removed("chunks")
     index = mine.within(store.table("postings").drop("folder"))
     index = index.select("term", "acl", "segment", "slice", "block", *[c for c in index.columns if c not in ("term", "acl", "segment", "slice", "block")])
-    few_terms = rt.query_terms(queries).select("term").distinct().limit(FEW_ACLS + 1).collect()
-    if len(few_terms) <= FEW_ACLS:
-        index = index.where(F.col("term").isin([r.term for r in few_terms]))  # a literal, so that files and row groups without them are skipped
+    few_terms = rt.query_terms(queries).limit(FEW_TERMS + 1).collect()
+    few = len(few_terms) <= FEW_TERMS
+    small = few and len(few_terms) * len(mine.few or range(FEW_ACLS)) * (1 + mine.chunks / lx.BLOCK) <= lx.FEW_BLOCKS
     dead_terms = None if gone is None else mine.within(store.removed("terms"))
-    sparse = lx.search(queries, index, mine.chunks, mine.terms / max(mine.chunks, 1.0), sparse_k, dead=gone, dead_terms=dead_terms)
+    by, asked = (lx.search_few, few_terms) if small else (lx.search, queries)
+    sparse = by(asked, index, mine.chunks, mine.terms / max(mine.chunks, 1.0), sparse_k, dead=gone, dead_terms=dead_terms)
     lists = []
     for name, dimensions in store.profiles:
         if profiles is None or name in profiles:
@@ -356,12 +369,14 @@ def search(
             rows = rows if gone is None else rows.join(gone, ["segment", "chunk_id"], "left_anti")
             lists.append(rt.dense_search(query_vectors(store, queries, name, dimensions, embed, remember), rows, dense_k))
     dense = rt.rrf(lists) if len(lists) > 1 else lists[0]
-    fused = cut(rt.rrf([dense, sparse], rt.fusion_weights(profile), profile.rrf_k, fused_k))
-    chunks = store.live("chunks")
-    rows = fused.limit(FEW_ROWS + 1).collect()
-    if len(rows) <= FEW_ROWS:
-        chunks = cut(chunks.where(F.col("chunk_id").isin(sorted({r.chunk_id for r in rows}))))
-    found = rt.rank_candidates(fused, chunks, queries, k, profile)
+    dense, sparse = (x.coalesce(1) if few else x for x in (dense, sparse))  # lists of few queries are short
+    fused = rt.rrf([dense, sparse], rt.fusion_weights(profile), profile.rrf_k, fused_k)
+    fused = fused if few else cut(fused)
+    chunks, rows = store.live("chunks"), fused.limit(FEW_ROWS + 1).collect()
+    if len(rows) <= FEW_ROWS:  # texts of what was found alone, by literals; from here on one task has it all
+        fused = store.spark.createDataFrame(rows, fused.schema).coalesce(1)
+        chunks = F.broadcast(cut(chunks.where(F.col("chunk_id").isin(sorted({r.chunk_id for r in rows})))).coalesce(1))
+    found = rt.rank_candidates(fused, chunks, queries.coalesce(1) if few else queries, k, profile)
     hits = found.select("query_id", "rank", "chunk_id", "score")
     shown = hits.join(chunks.drop("terms", "document_key", "acl", "segment"), "chunk_id")
     return shown.where(acl_allowed(F.col("level"), F.col("groups"), F.col("roles"), principal))

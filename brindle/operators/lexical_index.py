@@ -11,6 +11,8 @@ score, with the greatest of the query's other terms, stays below it holds no chu
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +23,8 @@ from brindle.operators.retrieval import B, K1, query_terms, top_k
 
 #: Postings of a block, of a slice, and of a folder.
 BLOCK, SLICE, FOLDER = 128, 65_536, 4_000_000
+#: Blocks that one task may take.
+FEW_BLOCKS = 8192
 #: The weight of a cover without other words between its clauses.
 COVER_WEIGHT = 0.1
 
@@ -59,17 +63,19 @@ def _impact(tf: Column, length: Column, mean: float) -> Column:
 
 def _weights(terms: DataFrame, index: DataFrame, n: float, dead_terms: DataFrame | None) -> DataFrame:
     """(term, idf) of the queries' terms: from the blocks' counts, less the postings that are gone (term, n)."""
-    counts = index.join(terms.select("term").distinct(), "term", "left_semi").select("term", "n")
+    counts = index.select("term", "n").join(terms.select("term").distinct(), "term", "left_semi")
     if dead_terms is not None:
         counts = counts.unionByName(dead_terms.select("term", (-F.col("n")).alias("n")))
     df = F.greatest(F.sum("n"), F.lit(0))
     return counts.groupBy("term").agg(F.log(1 + (n - df + 0.5) / (df + 0.5)).alias("idf"))
 
 
-def _scores(wanted: DataFrame, index: DataFrame, key: list[str], mean: float, dead: DataFrame | None) -> DataFrame:
+def _scores(wanted: DataFrame, index: DataFrame, key: list[str], mean: float, dead: DataFrame | None, own: list[str] | None = None) -> DataFrame:
     """(query_id, chunk_id, s) of the wanted blocks (query_id, key, idf): the sum of their postings' weights."""
-    rows = index.select(*key, F.arrays_zip("chunks", "tfs", "lengths").alias("_z")).join(wanted, key)
-    own = [c for c in dead.columns if c in key] if dead is not None else []
+    if own is None:  # of the key's columns those that tell dead chunks apart
+        own, rows = [c for c in dead.columns if c in key] if dead is not None else [], index.select(*key, F.arrays_zip("chunks", "tfs", "lengths").alias("_z")).join(wanted, key)
+    else:
+        rows = index.select(*key, *own, F.arrays_zip("chunks", "tfs", "lengths").alias("_z")).join(F.broadcast(wanted), key)
     rows = rows.select("query_id", "idf", *own, F.explode("_z").alias("z")).select("query_id", *own, F.col("z.chunks").alias("chunk_id"), (F.col("idf") * _impact(F.col("z.tfs"), F.col("z.lengths"), mean)).alias("w"))
     if dead is not None:
         rows = rows.join(dead, dead.columns, "left_anti")
@@ -83,7 +89,7 @@ def needed(queries: DataFrame, index: DataFrame, n: float, mean: float, k: int,
     idf = _weights(terms, index, n, dead_terms)
     about = index.select(*key, "n", "max_tf", "min_length").join(idf, "term")
     about = about.withColumn("_most", F.col("idf") * _impact(F.col("max_tf"), F.col("min_length"), mean))
-    asked = cut(terms.join(about, "term").select("query_id", *key, "n", "idf", "_most"))
+    asked = cut(about.join(terms, "term").select("query_id", *key, "n", "idf", "_most"))
     first = _scores(asked.where("block = 0").select("query_id", *key, "idf"), index, key, mean, dead)
     reached = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("s").desc()))
     floor = first.withColumn("_r", reached).where(F.col("_r") == k).select("query_id", F.col("s").alias("_floor"))
@@ -105,6 +111,22 @@ def search(queries: DataFrame, index: DataFrame, n: float, mean: float, k: int,
     return top_k(scored.select("query_id", "chunk_id", F.round("s", places).alias("score")), k)
 
 
+def search_few(terms: list, index: DataFrame, n: float, mean: float, k: int, places: int = 9, dead: DataFrame | None = None, dead_terms: DataFrame | None = None) -> DataFrame:
+    """`search` for the rows (query_id, term) of a few queries whose blocks are FEW_BLOCKS at most: one task reads them all, without a
+    shuffle, which takes less time than finding out which blocks to leave."""
+    spark = index.sparkSession
+    index = index.where(F.col("term").isin(sorted({r.term for r in terms})))  # a literal, so that files and row groups without these terms are skipped
+    counts = index.select("term", "n")
+    if dead_terms is not None:
+        counts = counts.unionByName(dead_terms.select("term", (-F.col("n")).alias("n")))
+    df = dict(counts.coalesce(1).groupBy("term").agg(F.sum("n")).collect())
+    idf = lambda d: math.log(1 + (n - d + 0.5) / (d + 0.5))
+    kind = index.sparkSession.createDataFrame(terms).schema["query_id"].dataType.simpleString() if terms else "long"
+    weighed = spark.createDataFrame([(r.query_id, r.term, idf(max(df[r.term], 0))) for r in terms if r.term in df], f"query_id {kind}, term string, idf double")
+    scored = _scores(weighed, index.coalesce(1), ["term"], mean, dead, ["segment"] if dead is not None and "segment" in dead.columns else [])
+    return top_k(scored.select("query_id", "chunk_id", F.round("s", places).alias("score")), k)
+
+
 # ---- web searches -------------------------------------------------------------------------------------------------------
 
 
