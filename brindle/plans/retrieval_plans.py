@@ -15,7 +15,7 @@ from brindle.operators import evaluation as ev
 from brindle.operators import graph as gr
 from brindle.operators import retrieval as rt
 from brindle.plans.registry import Tables, query
-from brindle.plans.text_plans import _tokens
+from brindle.plans.text_plans import SYMBOL_RUN, _symbol, _tokens
 from brindle.streaming import jobs
 
 # ---- dense --------------------------------------------------------------------------------------------------------------
@@ -129,7 +129,29 @@ def overlap_rerank(t: Tables):
     return rt.overlap_scores(_candidates(t)).select("query_id", "chunk_id", F.round("lexical_score", 6).alias("lexical_score"))
 
 
-@query()
+_CANDIDATES = f"""{_BM25}, top as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as r from b) where r <= 10),
+x as (select query_id, chunk_id, score, r, i.text as query, d.text as text from top join benchmark i on i.item_id = query_id join documents d on d.doc_id = chunk_id)"""
+
+
+@query(f"""with {_CANDIDATES}, y as (select query_id, chunk_id, score, r, {_tokens('query')} as q, {_tokens('text')} as k from x),
+z as (select *, list_distinct(q) as t, list_intersect(list_distinct(q), k) as h, count(*) over (partition by query_id) as n from y),
+held as (select query_id, chunk_id, unnest(h) as term from z), idf as (select query_id, term, count(*) as df from held group by all),
+w as (select z.query_id, z.chunk_id, sum(ln((1 + n) / (1 + coalesce(df, 0))) + 1) as total, sum(case when list_contains(h, term) then ln((1 + n) / (1 + coalesce(df, 0))) + 1 else 0 end) as got
+  from (select query_id, chunk_id, n, h, unnest(t) as term from z) z left join idf using (query_id, term) group by all),
+pos as (select query_id, chunk_id, unnest(k) as term, unnest(range(len(k))) as p from z), hp as (select * from pos semi join held using (query_id, chunk_id, term)),
+hits as (select query_id, chunk_id, count(*) as c from hp group by all),
+ends as (select a.query_id, a.chunk_id, a.p as e, b.term from hp a join held b using (query_id, chunk_id)),
+last as (select ends.query_id, ends.chunk_id, e, hp.p as s from ends asof join hp on ends.query_id = hp.query_id and ends.chunk_id = hp.chunk_id and ends.term = hp.term and ends.e >= hp.p),
+span as (select query_id, chunk_id, e, e - min(s) + 1 as width, count(*) as c from last group by query_id, chunk_id, e),
+near as (select query_id, chunk_id, min(width) as width from span join z using (query_id, chunk_id) where c = len(h) and len(h) > 1 group by all),
+pairs as (select *, list_transform(range(1, len(q)), lambda i: q[i] || ' ' || q[i + 1]) as qp, list_transform(range(1, len(k)), lambda i: k[i] || ' ' || k[i + 1]) as kp from z),
+lex as (select query_id, chunk_id, score, r, case when len(q) = 0 or len(k) = 0 then 0 else round(least(1, got / total * 0.72 + least(1, coalesce(c, 0) / greatest(1, least(len(k), len(t) * 8))) * 0.1
+  + case when len(qp) > 0 and len(k) > 1 then len(list_filter(qp, lambda v: list_contains(kp, v))) / len(qp) else 0 end * 0.1 + coalesce(least(1, len(h) / width), 0) * 0.08
+  + case when contains(array_to_string(k, ' '), array_to_string(q, ' ')) then 0.2 else 0 end), 9) end as s
+  from pairs left join w using (query_id, chunk_id) left join hits using (query_id, chunk_id) left join near using (query_id, chunk_id)),
+best as (select *, max(case when r <= 5 then score end) over (partition by query_id) as m from lex),
+mixed as (select *, case when r <= 5 then round(0.65 * s + 0.35 * case when m > 0 then score / m else 0 end, 9) end as f from best)
+select query_id, chunk_id, (row_number() over (partition by query_id order by f desc nulls last, case when r <= 5 then s end desc nulls last, score desc, r))::int as rank, round(coalesce(f, score), 6) as score from mixed""")
 def lexical_rerank(t: Tables):
     scored = rt.lexical_scores(_candidates(t))
     return rt.rerank(scored, "lexical_score", 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
@@ -140,7 +162,11 @@ def mmr_select(t: Tables):
     return rt.mmr(_candidates(t), 5).select("query_id", "chunk_id", "rank", "mmr_rank")
 
 
-@query()
+@query(f"""with {_CANDIDATES}, y as (select query_id, chunk_id, score, r, regexp_extract_all(substr(text, 1, 12) || ' HTTPServer', '{SYMBOL_RUN}') as raw, lower(text || case when chunk_id % 2 = 0 then ' an httpserver' else '' end) as hay from x),
+runs as (select query_id, chunk_id, hay, unnest(raw) as t from y), sy as (select distinct query_id, chunk_id, hay, lower(t) as s from runs where {_symbol('t')}),
+m as (select query_id, chunk_id, count(*) as n, count(*) filter (where case when contains(s, '/') then contains(hay, s) else regexp_matches(hay, '(^|[^a-z0-9_./:-])' || regexp_escape(s) || '($|[^a-z0-9_./:-])') end) as c from sy group by all),
+z as (select y.query_id, y.chunk_id, score, r, coalesce(c, 0) as c, case when coalesce(c, 0) > 0 then round(score + 2 * c / n, 6) else score end as f from y left join m using (query_id, chunk_id))
+select query_id, chunk_id, (row_number() over (partition by query_id order by f desc, score desc, r))::int as rank, c::int as symbol_matches from z""")
 def symbol_boost(t: Tables):
     c = _candidates(t).withColumn("query", F.concat(F.substring("text", 1, 12), F.lit(" HTTPServer"))).withColumn("text", F.concat("text", F.when(F.col("chunk_id") % 2 == 0, " an httpserver").otherwise("")))
     return rt.symbol_boost(c, 2.0).select("query_id", "chunk_id", "rank", "symbol_matches")

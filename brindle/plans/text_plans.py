@@ -147,7 +147,19 @@ def rerank_tokens(t: Tables):
     return k.select("doc_id", F.array_join("k", " ").alias("tokens"), F.size("k").alias("n"), F.size(F.array_distinct("k")).alias("different"))
 
 
-@query()
+SYMBOL_RUN = "[A-Za-z0-9][A-Za-z0-9_./:-]{2,}"
+
+
+def _symbol(t: str) -> str:
+    """Whether a run is a symbol: no stopword, and with a mark or digit, all in capitals, or with a capital after its first letter."""
+    mixed = f"regexp_matches({t}, '[A-Z]') and regexp_matches({t}, '[a-z]') and not regexp_matches({t}, '^[A-Z][^A-Z]*$')"
+    return f"not list_contains({_STOP}, lower({t})) and (regexp_matches({t}, '[_./:0-9-]') or (upper({t}) = {t} and regexp_matches({t}, '[A-Z]')) or ({mixed}))"
+
+
+@query(f"""with q as (select page_id, regexp_extract_all(coalesce(url || ' ', '') || 'HTTPServer fooBar Plain the v1.2 x_y', '{SYMBOL_RUN}') as raw from pages),
+p as (select page_id, unnest(raw) as t, unnest(range(len(raw))) as i from q), f as (select page_id, arg_min(t, i) as t, min(i) as i from p where {_symbol('t')} group by page_id, lower(t)),
+k as (select *, row_number() over (partition by page_id order by i) as n from f)
+select page_id, string_agg(t, ' ' order by i) as symbols, count(*)::int as n from k where n <= 32 group by page_id""")
 def exact_symbols(t: Tables):
     s = t.pages.select("page_id", tx.exact_symbols(F.concat_ws(" ", "url", F.lit("HTTPServer fooBar Plain the v1.2 x_y"))).alias("s"))
     return s.select("page_id", F.array_join("s", " ").alias("symbols"), F.size("s").alias("n"))
