@@ -173,24 +173,53 @@ def nearest_of_type(closure: DataFrame, nodes: DataFrame, kind: str) -> DataFram
     return ok.groupBy("id").agg(F.min_by("ancestor", F.struct("distance", "ancestor")).alias("ancestor"))
 
 
-def subtree_hashes(components: DataFrame, levels: int) -> DataFrame:
-    """(id, hash) over (id, parent, ordinal, content): a node's digest covers its content and its children's digests in order.
+#: Levels of a tree that one plan holds before it is cut.
+PLAN_LEVELS = 4
 
-    From the lowest level up, a level a join; `levels` is the depth of the tree, nodes carry their `level` from 0.
+
+def subtree_hashes(components: DataFrame, levels: int | None = None) -> DataFrame:
+    """(id, hash) over (id, parent, ordinal, content, level): a node's digest covers its content and its children's digests in order.
+
+    By rounds from the lowest level up, which the table itself tells, so that trees of any depth are whole. `levels`, where given, is a
+    contract: a deeper tree is refused. Children of equal ordinal are told apart by id; a null content is an empty one.
+    """
+    deepest = components.agg(F.max("level")).first()[0]
+    if levels is not None and deepest is not None and deepest >= levels:
+        raise ValueError(f"the tree has {deepest + 1} levels, {levels} were said")
+    return _hash_levels(components, components.select("id", "parent", "ordinal").limit(0).withColumn("hash", F.lit("")), deepest)
+
+
+def rehash(components: DataFrame, old: DataFrame, changed: DataFrame) -> DataFrame:
+    """(id, hash) of the nodes whose digest a change can touch: those of `changed` (id) and all above them, no others.
+
+    components: the tree as it is now; old: (id, hash) from before. A node that was added, or lost a child, belongs to `changed`.
     """
+    up = components.select("id", "parent")
+    front = cut(changed.select("id").distinct().join(components.select("id"), "id", "left_semi"))
+    touched = front
+    while not front.isEmpty():
+        above = front.join(up, "id").where(F.col("parent").isNotNull()).select(F.col("parent").alias("id")).distinct()
+        front = cut(above.join(touched, "id", "left_anti"))
+        touched = cut(touched.unionByName(front))
+    own = cut(components.join(touched, "id", "left_semi"))
+    beside = components.join(own.select(F.col("id").alias("parent")), "parent", "left_semi").join(touched, "id", "left_anti")
+    known = cut(beside.join(old, "id").select("id", "parent", "ordinal", "hash"))
+    return _hash_levels(own, known, own.agg(F.max("level")).first()[0])
+
+
+def _hash_levels(components: DataFrame, known: DataFrame, deepest: int | None) -> DataFrame:
+    """Digests of components, level by level; known (id, parent, ordinal, hash) are children that aren't hashed again."""
     own = F.sha2(F.coalesce("content", F.lit("")), 256)
-    done = None
-    for d in range(levels - 1, -1, -1):
+    front, done = known.limit(0), []
+    for d in range(-1 if deepest is None else deepest, -1, -1):
         here = components.where(F.col("level") == d)
-        if done is None:
-            done = here.select("id", "parent", "ordinal", F.sha2(own, 256).alias("hash"))
-            front = done
-            continue
-        below = front.groupBy("parent").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "id", "hash"))), lambda x: x["hash"]), "").alias("kids"))
-        b = below.withColumnRenamed("parent", "_p")
-        front = here.join(b, here["id"] == b["_p"], "left").select("id", "parent", "ordinal", F.sha2(F.concat(own, F.coalesce("kids", F.lit(""))), 256).alias("hash"))
-        done = done.unionByName(front)
-    return done.select("id", "hash")
+        kids = front.unionByName(known.join(here.select(F.col("id").alias("parent")), "parent", "left_semi").select(*front.columns))
+        below = kids.groupBy(F.col("parent").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "id", "hash"))), lambda x: x["hash"]), "").alias("kids"))
+        front = here.join(below, "id", "left").select("id", "parent", "ordinal", F.sha2(F.concat(own, F.coalesce("kids", F.lit(""))), 256).alias("hash"))
+        if (deepest - d) % PLAN_LEVELS == PLAN_LEVELS - 1:
+            front = cut(front)
+        done.append(front)
+    return reduce(DataFrame.unionByName, [f.select("id", "hash") for f in done]) if done else known.select("id", "hash").limit(0)
 
 
 def interleave(hits: DataFrame, added: DataFrame) -> DataFrame:

@@ -151,7 +151,7 @@ def current(docs: DataFrame) -> DataFrame:
     return rows.withColumn("acl", rights).withColumn("document_key", hs.stable_id("doc", *[F.col(c) for c in KEY]))
 
 
-def prepare(docs: DataFrame, mode: str | Column = "markdown_docs_v1") -> DataFrame:
+def prepare(docs: DataFrame, mode: str = "markdown_docs_v1") -> DataFrame:
     """Chunks of documents as `current` gives them, with ids that depend on document, content and place alone, and their number of terms."""
     keep = [*KEY, "document_key", "version", "content_hash", *[c for c in SCOPE if c not in KEY], "acl"]
     chunks = ck.chunk_documents(docs, keep, mode=mode).drop("severity")
@@ -160,7 +160,7 @@ def prepare(docs: DataFrame, mode: str | Column = "markdown_docs_v1") -> DataFra
 
 
 def ingest(
-    docs: DataFrame, path: str, mode: str | Column = "markdown_docs_v1", dimensions: int = 64, profile: str = "hash-64", complete: bool = False, embed: Embed = _hash_vectors,
+    docs: DataFrame, path: str, mode: str = "markdown_docs_v1", dimensions: int = 64, profile: str = "hash-64", complete: bool = False, embed: Embed = _hash_vectors,
 ) -> DataFrame:
     """Brings the store at path up to date with docs and returns one row (version, documents, chunks, added, replaced, unchanged).
 
@@ -214,7 +214,7 @@ def remove(spark: SparkSession, path: str, documents: DataFrame) -> Store:
     return _commit(old, old.segments, (*old.gone, _write_gone(old, gone)), old.profiles) if not gone.isEmpty() else old
 
 
-def _write_segment(spark: SparkSession, path: str, docs: DataFrame, mode: str | Column, profiles: tuple, embed: Embed) -> str:
+def _write_segment(spark: SparkSession, path: str, docs: DataFrame, mode: str, profiles: tuple, embed: Embed) -> str:
     name = f"s{uuid.uuid4().hex}"
     prepare(docs, mode).repartition("document_key").sortWithinPartitions("chunk_id").write.parquet(f"{path}/chunks/segment={name}")
     chunks = spark.read.parquet(f"{path}/chunks/segment={name}")

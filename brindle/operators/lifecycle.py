@@ -107,6 +107,19 @@ def audit_rows(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return rows.withColumn("failures", F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]), lambda x: x.isNotNull()))
 
 
+def unbound_fields(artifacts: DataFrame, revisions: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, unbound): artifacts whose declared fields don't all hold in their revision (X8), with the names of those that don't.
+
+    A declared field must be there and equal; one that an artifact leaves null is not declared. Without a revision every declared field is
+    unbound.
+    """
+    known = revisions.select(key, *[F.col(f).alias(f"_r_{f}") for f in fields], F.lit(True).alias("_is"))
+    rows = artifacts.select(key, *fields).join(known, key, "left")
+    off = [F.when(F.col(f).isNotNull() & ~F.coalesce(F.col(f) == F.col(f"_r_{f}"), F.lit(False)), F.lit(f)) for f in fields]
+    rows = rows.withColumn("unbound", F.array_compact(F.array(*off)))
+    return rows.where(F.size("unbound") > 0).select(key, "unbound")
+
+
 def classify_record(present: list[Column]) -> Column:
     """All tags there: the first branch; none: the second; some: an error."""
     n = sum((p.cast("int") for p in present[1:]), present[0].cast("int"))

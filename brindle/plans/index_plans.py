@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brindle.lineage import cut, new_folder
 from brindle.operators import dense_index as di
+from brindle.operators import graph as gr
 from brindle.operators import ingest as ig
 from brindle.operators import lexical_index as lx
+from brindle.operators import lifecycle as lc
+from brindle.operators import retrieval as rt
 from brindle.plans.registry import Tables, query
 from brindle.plans.retrieval_plans import _BM25, _DENSE, _vectors
 from brindle.plans.text_plans import _tokens
@@ -110,3 +114,54 @@ def incremental_store(t: Tables):
     changed = F.when(F.col("document_id") % 10 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
     ig.ingest(docs.where("document_id % 10 <> 1").withColumn("text", changed).withColumn("version", F.lit(2)), at, complete=True)
     return ig.open_store(t.spark, at).live("documents").select("tenant_id", "document_id", "content_hash")
+
+
+@query("""with recent as (select o_custkey, max(o_orderkey) as v from orders group by 1)
+select l_orderkey as chunk_id, o_custkey as document_id, v as current_version_id, o.o_orderdate as version_date from (select distinct l_orderkey from lineitem where l_orderkey % 50 = 0) h
+join (select o_orderkey, o_custkey from orders) c on l_orderkey = c.o_orderkey join recent using (o_custkey) left join (select o_orderkey, o_orderdate from orders where o_orderstatus <> 'P') o on v = o.o_orderkey""")
+def hydrate_versions(t: Tables):
+    """Hits with their document's current version, where it is known: customers are documents, their orders versions and chunks."""
+    hits = t.lineitem.where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("chunk_id")).distinct()
+    chunks = t.orders.select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("document_id"))
+    documents = t.orders.groupBy(F.col("o_custkey").alias("document_id")).agg(F.max("o_orderkey").alias("current_version_id"))
+    versions = t.orders.where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("current_version_id"), F.col("o_orderdate").alias("version_date"))
+    return rt.hydrate(hits, chunks, documents, versions=versions).select("chunk_id", "document_id", "current_version_id", "version_date")
+
+
+@query("""with parsed as (select 'c' || o_custkey as id, 'section' as type, 'parsed ' || o_custkey as label, max(o_orderkey) as parsed from orders group by 1, 3),
+listed as (select 'c' || c_custkey as id, 'entry' as type, c_name as label, c_nationkey as listed from customer)
+select id, case when p.id is not null then 'section' else 'entry' end as type, coalesce(l.label, p.label) as label, l.listed::varchar as listed, p.parsed::varchar as parsed, ((l.id is not null)::int + (p.id is not null)::int)::int as merged
+from listed l full join parsed p using (id)""")
+def manifest_and_parsed_nodes(t: Tables):
+    """A manifest's nodes and those that parsing finds, by id (U6): the manifest's label, `section` as the type, the properties of both."""
+    number = lambda c: F.col(c).cast("string")
+    name = lambda c: F.concat(F.lit("c"), number(c)).alias("id")
+    listed = t.customer.select(name("c_custkey"), F.lit("entry").alias("type"), F.col("c_name").alias("label"), F.create_map(F.lit("listed"), number("c_nationkey")).alias("properties"), F.lit(0).alias("source"))
+    last = t.orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("k"))
+    parsed = last.select(name("o_custkey"), F.lit("section").alias("type"), F.concat(F.lit("parsed "), number("o_custkey")).alias("label"), F.create_map(F.lit("parsed"), number("k")).alias("properties"), F.lit(1).alias("source"))
+    merged = gr.merge_nodes(listed.unionByName(parsed), "source")
+    of = lambda k: F.try_element_at("properties", F.lit(k)).alias(k)
+    return merged.select("id", "type", "label", of("listed"), of("parsed"), "merged")
+
+
+@query("""select o_orderkey, array_to_string(list_filter([case when gone or o_totalprice > 200000 then 'customer' end, case when gone or o_orderstatus = 'P' then 'status' end], lambda x: x is not null), ',') as unbound
+from (select *, o_orderpriority like '5%' as gone from orders) where gone or o_totalprice > 200000 or o_orderstatus = 'P'""")
+def unbound_artifacts(t: Tables):
+    """Orders as artifacts that declare a customer and a status; in their revisions dear ones have another customer, partial ones another
+    status, and those of the last priority are missing."""
+    artifacts = t.orders.select("o_orderkey", F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"))
+    there = t.orders.where(~F.col("o_orderpriority").startswith("5"))
+    customer = F.when(F.col("o_totalprice") > 200_000, F.col("o_custkey") + 1).otherwise(F.col("o_custkey"))
+    revisions = there.select("o_orderkey", customer.alias("customer"), F.when(F.col("o_orderstatus") == "P", "O").otherwise(F.col("o_orderstatus")).alias("status"))
+    return lc.unbound_fields(artifacts, revisions, "o_orderkey", ["customer", "status"]).select("o_orderkey", F.array_join("unbound", ",").alias("unbound"))
+
+
+@query("""with recursive h as (select o_orderkey as id, o_custkey as c, row_number() over (partition by o_custkey order by o_orderkey) as n, count(*) over (partition by o_custkey) as m, o_orderpriority as content from orders),
+w as (select id, c, n, sha256(sha256(content)) as hash from h where n = m
+  union all select h.id, h.c, h.n, sha256(sha256(h.content) || w.hash) from w join h on h.c = w.c and h.n = w.n - 1)
+select id, hash from w""")
+def chain_hashes(t: Tables):
+    """Each customer's orders as a chain, every order the child of the one before: trees as deep as a customer has orders."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = t.orders.select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(w).alias("parent"), F.lit(0).alias("ordinal"), F.col("o_orderpriority").alias("content"), (F.row_number().over(w) - 1).alias("level"))
+    return gr.subtree_hashes(o)

@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from brindle.functions.hashing import uuid5
 
 
+#: Rows of a file.
+FILE_ROWS = 1_000_000
+
+
 def vectors(df: DataFrame, path: str, partition: str = "embedding_profile_id", key: str = "chunk_id") -> None:
-    """Vectors by profile under deterministic point ids; a profile's partition is replaced as a whole (K1)."""
-    out = df.withColumn("point_id", uuid5(F.col(key)))
-    out.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """Vectors by profile under deterministic point ids; a profile's partition is replaced as a whole, in as many files as it needs (K1)."""
+    out, files = df.withColumn("point_id", uuid5(F.col(key))), max(1, -(-df.count() // FILE_ROWS))
+    out.repartition(partition, F.pmod(F.xxhash64(key), F.lit(files))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def index(postings: DataFrame, path: str, buckets: int = 16) -> None:
-    """Postings clustered by a hash of the term, so that a query reads few files (K2)."""
+    """Postings clustered by a hash of the term, so that a query reads few files; a bucket is as many files as its rows need (K2)."""
+    files = max(1, -(-postings.count() // (buckets * FILE_ROWS)))
     spread = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    spread.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    spread.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(files))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
