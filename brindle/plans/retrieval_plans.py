@@ -157,7 +157,17 @@ def lexical_rerank(t: Tables):
     return rt.rerank(scored, "lexical_score", 5).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""with recursive {_CANDIDATES}, un as (select query_id, chunk_id, score, r, list_distinct({_tokens('text')}) as s from x),
+pr as (select a.query_id, a.chunk_id as a, b.chunk_id as b, case when len(a.s) > 0 and len(b.s) > 0 then len(list_intersect(a.s, b.s))::double / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) else 0 end as sim
+  from un a join un b on a.query_id = b.query_id and a.chunk_id <> b.chunk_id),
+pick as (select query_id, [chunk_id] as chosen from un where r = 1
+  union all select query_id, list_append(chosen, arg_max(chunk_id, {{'m': m, 's': score, 'n': -near, 'r': -r}})) from (
+    select pick.query_id, chosen, u.chunk_id, u.score, u.r, max(sim) as near, 0.82::double * u.score - (1 - 0.82::double) * max(sim) as m
+    from pick join un u on pick.query_id = u.query_id join pr on pr.query_id = u.query_id and pr.a = u.chunk_id and list_contains(chosen, pr.b)
+    where len(chosen) < 5 and not list_contains(chosen, u.chunk_id) group by pick.query_id, chosen, u.chunk_id, u.score, u.r) c group by query_id, chosen),
+whole as (select query_id, arg_max(chosen, len(chosen)) as chosen from pick group by query_id)
+select query_id, chunk_id, r::int as rank, (case when list_contains(chosen, chunk_id) then list_position(chosen, chunk_id)
+  else len(chosen) + row_number() over (partition by query_id, list_contains(chosen, chunk_id) order by r) end)::int as mmr_rank from un join whole using (query_id)""")
 def mmr_select(t: Tables):
     return rt.mmr(_candidates(t), 5).select("query_id", "chunk_id", "rank", "mmr_rank")
 
