@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.plans import audit_plans, index_plans, registry, relational_plans, retrieval_plans, text_plans  # noqa: F401  (the plans register themselves)
+from brindle.plans import audit_plans, harvest_plans, index_plans, registry, relational_plans, retrieval_plans, text_plans  # noqa: F401  (the plans register themselves)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
