@@ -32,7 +32,7 @@ def pack(df: DataFrame, key: str, text: str, at: str, file_bytes: int = PACK) ->
     files = max(1, -(-total // file_bytes))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("key", "sha256"), F.lit(files)).cast("int"))
     order = [F.col("bucket"), F.col("key").asc_nulls_first(), F.col("sha256")]
-    rows.repartition(files, "bucket").sortWithinPartitions(*order).select("bucket", "value").write.partitionBy("bucket").text(at)
+    rows.repartitionById(files, "bucket").sortWithinPartitions(*order).select("bucket", "value").write.partitionBy("bucket").text(at)
     written = df.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(at)
     written = written.select("path", F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("int").alias("bucket"))
     before = Window.partitionBy("bucket").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)  # one file's coordinates
