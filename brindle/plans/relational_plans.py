@@ -109,7 +109,7 @@ def usage_with_names(t: Tables):
 @query("""select e.*, o.* from (select count(*) as events, count(distinct user_id) as users, count(*) filter (event_type = 'error') as errors, epoch(max(ts))::bigint as last_event_epoch, round(sum(value), 2) as value from events) e,
 (select count(*) filter (o_orderstatus = 'O') as open_orders, epoch(min(case when o_orderstatus = 'O' then o_orderdate end))::bigint as oldest_open_epoch from orders) o""")
 def gauges(t: Tables):
-    return us.gauges(t.events, t.orders).withColumn("value", F.round("value", 2))
+    return us.gauges(t.events, t.orders, 2)
 
 
 @query("select source, sum(strlen(text))::bigint as bytes from documents group by 1")
