@@ -144,7 +144,8 @@ def hydrate_hits(t: Tables):
     groups = F.when(F.col("o_orderkey") % 4 == 1, F.array(F.lit("closed"))).otherwise(F.array().cast("array<string>"))
     chunks = t.orders.select(F.col("o_orderkey").alias("chunk_id"), F.col("o_custkey").alias("document_id"), (F.col("o_orderkey") % 6).cast("int").alias("level"), groups.alias("groups"), F.array().cast("array<string>").alias("roles"))
     docs = t.customer.select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("title"))
-    links = t.lineitem.select(F.col("l_orderkey").alias("document_id"), F.struct("l_shipdate", "l_linenumber").alias("created_at"), F.col("l_suppkey").alias("link"), F.lit(0).alias("link_id"))
+    first = F.min_by("l_suppkey", F.struct("_metadata.file_path", "_metadata.row_index"))  # of links made at once the one stored first
+    links = t.lineitem.groupBy(F.col("l_orderkey").alias("document_id"), F.struct("l_shipdate", "l_linenumber").alias("created_at")).agg(first.alias("link")).withColumn("link_id", F.lit(0))
     return rt.hydrate(hits, chunks, docs, links, Principal("t", "i", ("open",), (), 2)).select("query_id", "chunk_id", "rank", "title", "link")
 
 

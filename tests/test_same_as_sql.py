@@ -29,3 +29,8 @@ def same(spark, sf, tmp_path):
 def test_gauges_take_the_nearest_second(same):
     rows = "select * replace (date_trunc('second', ts) + interval 700 millisecond as ts) from base"
     assert same("gauges", events=rows)[0][3] % 60 == 17  # 23:26:16.7
+
+
+def test_of_links_made_at_once_the_first_stored_counts(same):
+    rows = "select * replace (timestamp '2020-01-01' as l_shipdate, 1 as l_linenumber, row_number() over () as l_suppkey) from base"
+    assert same("hydrate_hits", lineitem=rows)
