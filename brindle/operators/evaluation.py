@@ -35,16 +35,19 @@ def mean_metrics(per_query: DataFrame, by: list[str] = ()) -> DataFrame:
     return per_query.groupBy(*by).agg(F.count(F.lit(1)).alias("queries"), *means, F.sum("leakage").alias("leakage"))
 
 
-def bakeoff_score(recall: Column, rr: Column, ndcg: Column, precision: Column, leakage: Column) -> Column:
-    return F.round(0.45 * recall + 0.25 * rr + 0.2 * ndcg + 0.1 * precision - F.least(leakage, F.lit(10)) * 0.1, 6)
+def bakeoff_score(recall: Column, rr: Column, ndcg: Column, precision: Column, leakage: Column, places: int = 6) -> Column:
+    """Rounded once, as the product with a power of ten: a score is no other number by the decimals it happens to be shown with."""
+    score = 0.45 * recall + 0.25 * rr + 0.2 * ndcg + 0.1 * precision - F.least(leakage, F.lit(10)) / 10
+    return F.round(score * 10.0**places) / 10.0**places
 
 
-def select_best(results: DataFrame, metric: str, minimums: dict[str, float], name: str = "profile") -> DataFrame:
-    """results with the reasons against each and the one chosen: the best metric among those with none (E5)."""
+def select_best(results: DataFrame, metric: str, minimums: dict[str, float], name: str | None = "profile") -> DataFrame:
+    """results with the reasons against each and the one chosen: the best metric among those with none (E5), of equal ones the first by
+    name; without a name all that share it."""
     why = F.filter(F.array(*[F.when(F.col(m) < v, F.lit(f"{m} below {v}")) for m, v in minimums.items()]), lambda x: x.isNotNull())
     rows = results.withColumn("reasons", why)
-    w = Window.partitionBy(F.size("reasons") == 0).orderBy(F.col(metric).desc(), name)  # one row a candidate
-    return rows.withColumn("selected", (F.size("reasons") == 0) & (F.row_number().over(w) == 1))
+    w = Window.partitionBy(F.size("reasons") == 0).orderBy(F.col(metric).desc(), *([name] if name else []))  # one row a candidate
+    return rows.withColumn("selected", (F.size("reasons") == 0) & (F.rank().over(w) == 1))
 
 
 def threshold_failures(metrics: DataFrame, thresholds: dict[str, float]) -> DataFrame:

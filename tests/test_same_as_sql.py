@@ -34,3 +34,8 @@ def test_gauges_take_the_nearest_second(same):
 def test_of_links_made_at_once_the_first_stored_counts(same):
     rows = "select * replace (timestamp '2020-01-01' as l_shipdate, 1 as l_linenumber, row_number() over () as l_suppkey) from base"
     assert same("hydrate_hits", lineitem=rows)
+
+
+def test_all_profiles_that_share_the_best_score_are_selected(same):
+    rows = "select i as p_partkey, ['a', 'b', 'c'][i % 3 + 1] as p_brand, case when i % 3 = 2 then 26 else 40 end as p_size from range(12) t(i)"
+    assert sorted((r[0], r[2]) for r in same("bakeoff_selection", part=rows)) == [("a", True), ("b", True), ("c", False)]
