@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from brindle.functions import hashing as hs
-from brindle.operators.retrieval import _query_blocks, _unit
+from brindle.operators.retrieval import _query_blocks, _unit, query_spans
 
 #: Rows that the index is fitted on, at most; numbers of a vector in one part; entries of a part's book; rows of a list's file.
 MAX_SAMPLE, PART, ENTRIES, FILE_ROWS = 20_000, 4, 256, 1_000_000
@@ -166,26 +166,34 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
 def _scorer(spark: SparkSession, q: Quantiser, ids: pa.Array, unit: np.ndarray, near: np.ndarray, n: int, exact: bool):
     """Scores of the rows of each list under the queries that probe it, the first n of each batch."""
     asked = {int(i): np.flatnonzero((near == i).any(1)) for i in np.unique(near)}
-    sent = spark.sparkContext.broadcast((ids, unit, None if exact else q.tables(unit), unit @ q.centres.T, asked))
+    sent = spark.sparkContext.broadcast((ids, unit, None if exact else q, unit @ q.centres.T, asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit, tables, centre, asked = sent.value
+        ids, unit, quantiser, centre, asked = sent.value
         for b in batches:
             lists = b.column(0).to_numpy()
             for i in np.unique(lists):
-                at, who = np.flatnonzero(lists == i), asked.get(int(i))
-                if who is None:
+                at, wanted = np.flatnonzero(lists == i), asked.get(int(i))
+                if wanted is None:
                     continue
                 rows = b.column(2).take(pa.array(at))
                 if exact:
-                    s = unit[who] @ _unit(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)).T
+                    vectors = _unit(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1))
                 else:
                     codes = np.frombuffer(b"".join(rows.to_pylist()), np.uint8).reshape(len(at), -1)
-                    s = centre[who, i][:, None] + sum(tables[who, p][:, codes[:, p]] for p in range(codes.shape[1]))
-                edge = np.partition(s, len(at) - n, axis=1)[:, len(at) - n] if len(at) > n else np.full(len(who), -np.inf)
-                x, y = np.nonzero(s >= edge[:, None] - 1e-12)
-                names = b.column(1).take(pa.array(at[y]))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[x])), names, pa.array(np.full(len(x), i, np.int32)), pa.array(s[x, y])], ["query_id", "chunk_id", "list", "score"])
+                    table_size = quantiser.books.shape[0] * quantiser.books.shape[1]  # of a query
+                for first, end in query_spans(len(wanted), len(at) if exact else max(len(at), table_size)):
+                    who = wanted[first:end]
+                    if exact:
+                        s = unit[who] @ vectors.T
+                    else:
+                        tables, s = quantiser.tables(unit[who]), np.repeat(centre[who, i][:, None], len(at), axis=1)
+                        for p in range(codes.shape[1]):
+                            s += tables[:, p][:, codes[:, p]]
+                    edge = np.partition(s, len(at) - n, axis=1)[:, len(at) - n] if len(at) > n else np.full(len(who), -np.inf)
+                    x, y = np.nonzero(s >= edge[:, None] - 1e-12)
+                    names = b.column(1).take(pa.array(at[y]))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[x])), names, pa.array(np.full(len(x), i, np.int32)), pa.array(s[x, y])], ["query_id", "chunk_id", "list", "score"])
 
     return run
 
