@@ -49,24 +49,22 @@ def merge_edges(edges: DataFrame, order: str) -> DataFrame:
 
 
 def decision_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of decisions (document_id, title, docket_number, court, decision_year, status, text) (G1)."""
+    """Nodes and edges of decisions (document_id, title, docket_number, court, decision_year, status, text) (G1).
+
+    What decisions are linked to is one table (opinion, kind, relation, key), from one reading of the texts; nodes and edges follow from it.
+    """
     r = records.withColumn("opinion", stable_id("opinion", F.col("document_id")))
     linked = {"docket": "docket_number", "court": "court", "year": "decision_year", "status": "status"}
-    node = lambda kind, df, key: df.select(stable_id(kind, key).alias("id"), F.lit(kind).alias("type"), key.cast("string").alias("label"))
-    edge = lambda kind, df, source, target: df.select(stable_id("edge", F.lit(kind), source, target).alias("id"), F.lit(kind).alias("type"), source.alias("source"), target.alias("target"))
-    nodes = [r.select(F.col("opinion").alias("id"), F.lit("opinion").alias("type"), F.col("title").alias("label"))]
-    edges = []
-    for kind, c in linked.items():
-        own = r.where(F.col(c).isNotNull())
-        nodes.append(node(kind, own, F.col(c)))
-        edges.append(edge(f"HAS_{kind.upper()}", own, F.col("opinion"), stable_id(kind, F.col(c))))
-    parties = r.select("opinion", F.explode(tx.case_parties(F.col("title"))).alias("party"))
-    found = signals(r.select("opinion", "text"))
-    for kind, df, key in (("party", parties, F.col("party")), *((k, found.where(F.col("kind") == k), F.col("key")) for k, _, _ in SIGNALS)):
-        nodes.append(node(kind, df, key))
-        edges.append(edge(f"CITES_{kind.upper()}" if kind != "party" else "HAS_PARTY", df, F.col("opinion"), stable_id(kind, key)))
-    together = lambda parts: reduce(DataFrame.unionByName, parts).dropDuplicates(["id"])
-    return together(nodes), together(edges)
+    item = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.lit(f"HAS_{kind.upper()}").alias("relation"), key.cast("string").alias("key"))
+    known = F.filter(F.array(*[item(kind, F.col(c)) for kind, c in linked.items()]), lambda x: x["key"].isNotNull())
+    parties = F.transform(tx.case_parties(F.col("title")), lambda p: item("party", p))
+    own = r.select("opinion", F.explode(F.concat(known, F.coalesce(parties, F.array().cast("array<struct<kind:string,relation:string,key:string>>")))).alias("i")).select("opinion", "i.*")
+    found = signals(r.select("opinion", "text")).select("opinion", "kind", F.concat(F.lit("CITES_"), F.upper("kind")).alias("relation"), "key")
+    items = cut(own.unionByName(found)).withColumn("target", F.concat("kind", stable_id("", F.col("key"))))
+    nodes = r.select(F.col("opinion").alias("id"), F.lit("opinion").alias("type"), F.col("title").alias("label"))
+    nodes = nodes.unionByName(items.select(F.col("target").alias("id"), F.col("kind").alias("type"), F.col("key").alias("label")))
+    edges = items.select(stable_id("edge", F.col("relation"), F.col("opinion"), F.col("target")).alias("id"), F.col("relation").alias("type"), F.col("opinion").alias("source"), "target")
+    return nodes.dropDuplicates(["id"]), edges.dropDuplicates(["id"])
 
 
 def pair_edges(members: DataFrame, group: str, member: str, most: int | None = None) -> DataFrame:
