@@ -171,10 +171,6 @@ def nearest_of_type(closure: DataFrame, nodes: DataFrame, kind: str) -> DataFram
     return ok.groupBy("id").agg(F.min_by("ancestor", F.struct("distance", "ancestor")).alias("ancestor"))
 
 
-#: Levels of a tree that one plan holds before it is cut.
-PLAN_LEVELS = 4
-
-
 def subtree_hashes(components: DataFrame, levels: int | None = None) -> DataFrame:
     """(id, hash) over (id, parent, ordinal, content, level): a node's digest covers its content and its children's digests in order.
 
@@ -206,7 +202,12 @@ def rehash(components: DataFrame, old: DataFrame, changed: DataFrame) -> DataFra
 
 
 def _hash_levels(components: DataFrame, known: DataFrame, deepest: int | None) -> DataFrame:
-    """Digests of components, level by level; known (id, parent, ordinal, hash) are children that aren't hashed again."""
+    """Digests of components, level by level; known (id, parent, ordinal, hash) are children that aren't hashed again.
+
+    Components are written once, by level in each file, so that a level reads its own rows; each level is a table, read by the next and
+    by the result.
+    """
+    components = cut(components.select("id", "parent", "ordinal", "content", "level").sortWithinPartitions("level"))
     own = F.sha2(F.coalesce("content", F.lit("")), 256)
     front, done = known.limit(0), []
     for d in range(-1 if deepest is None else deepest, -1, -1):
@@ -214,9 +215,7 @@ def _hash_levels(components: DataFrame, known: DataFrame, deepest: int | None) -
         kids = front.unionByName(known.join(here.select(F.col("id").alias("parent")), "parent", "left_semi").select(*front.columns))
         below = kids.groupBy(F.col("parent").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "id", "hash"))), lambda x: x["hash"]), "").alias("kids"))
         front = here.join(below, "id", "left").select("id", "parent", "ordinal", F.sha2(F.concat(own, F.coalesce("kids", F.lit(""))), 256).alias("hash"))
-        if (deepest - d) % PLAN_LEVELS == PLAN_LEVELS - 1:
-            front = cut(front)
-        done.append(front)
+        done.append(front := cut(front))
     return reduce(DataFrame.unionByName, [f.select("id", "hash") for f in done]) if done else known.select("id", "hash").limit(0)
 
 

@@ -18,3 +18,9 @@ def test_a_decisions_text_is_read_once_for_nodes_and_edges(spark):
     ends = {r.id for r in nodes.collect()}
     assert all(r.source in ends and r.target in ends for r in edges.collect())
     assert {r.type for r in edges.where(F.col("type").startswith("CITES")).collect()} == {"CITES_CASE_CITATION", "CITES_STATUTE", "CITES_RULE", "CITES_DOCKET"}
+
+
+def test_levels_of_a_tree_are_written_once(spark):
+    rows = spark.range(40).selectExpr("id", "if(id = 0, null, id - 1) as parent", "0 as ordinal", "'x' as content", "cast(id as int) as level")
+    plan = gr.subtree_hashes(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "sha2" not in plan
