@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from brindle.lineage import cut, new_folder
+from brindle.lineage import new_folder
 from brindle.operators import dense_index as di
 from brindle.operators import graph as gr
 from brindle.operators import ingest as ig
@@ -50,8 +50,7 @@ def dense_index_scoped(t: Tables):
 
 
 def _blocks(t: Tables) -> DataFrame:
-    rows = cut(lx.postings(t.documents.select(F.col("doc_id").alias("chunk_id"), "text")))
-    lx.write(lx.blocks(rows), at := new_folder(t.spark), rows.count())
+    lx.write_where_made(lx.chunk_blocks(t.documents, chunk_id="doc_id"), at := new_folder(t.spark))
     return lx.read(t.spark, at)
 
 
