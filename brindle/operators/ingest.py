@@ -134,21 +134,39 @@ def _commit(old: Store, segments: tuple, gone: tuple, profiles: tuple) -> Store:
 # ---- writing ------------------------------------------------------------------------------------------------------------
 
 
-def current(docs: DataFrame) -> DataFrame:
-    """One row of each document, and of each content in a tenant, instance and store: with content_hash, acl and document_key.
-
-    docs: document_id, text, version, the columns of SCOPE, and store_id if there are several.
-    """
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with content_hash, acl and document_key, and their version as a text that isn't null."""
     rows = docs if "store_id" in docs.columns else docs.withColumn("store_id", F.lit(None).cast("string"))
     rows = rows.select(*KEY, "version", "text", *[c for c in SCOPE if c not in KEY])
     rows = rows.withColumn("store_id", F.coalesce("store_id", F.lit(""))).withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rights = F.xxhash64("tenant_id", "instance_id", "active", "level", F.array_sort("groups"), F.array_sort("roles"))
+    rows = rows.withColumn("acl", rights).withColumn("document_key", hs.stable_id("doc", *[F.col(c) for c in KEY]))
+    return rows.withColumn("_version", F.coalesce(F.col("version").cast("string"), F.lit("")))
+
+
+def current_keys(docs: DataFrame) -> DataFrame:
+    """`current` without the texts, which are not shuffled to find it."""
+    rows = _keyed(docs).drop("text")
     latest = Window.partitionBy(*KEY).orderBy(F.col("version").desc_nulls_last(), "content_hash")
     rows = rows.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n")
     own = ["tenant_id", "instance_id", "store_id", "content_hash"]
     first = rows.groupBy(*own).agg(F.min("document_id").alias("document_id"))
-    rows = rows.join(first, [*own, "document_id"])
-    rights = F.xxhash64("tenant_id", "instance_id", "active", "level", F.array_sort("groups"), F.array_sort("roles"))
-    return rows.withColumn("acl", rights).withColumn("document_key", hs.stable_id("doc", *[F.col(c) for c in KEY]))
+    return rows.join(first, [*own, "document_id"]).drop("_version")
+
+
+def with_texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of `current_keys` with their text: each text that is wanted moves once, to its document's key."""
+    own = ["document_key", "_version", "content_hash", "acl"]
+    named = keys.withColumn("_version", F.coalesce(F.col("version").cast("string"), F.lit("")))
+    return named.join(_keyed(docs).select(*own, "text"), own).dropDuplicates(own).drop("_version")  # rows that are equal in all of it
+
+
+def current(docs: DataFrame) -> DataFrame:
+    """One row of each document, and of each content in a tenant, instance and store: with content_hash, acl and document_key.
+
+    docs: document_id, text, version, the columns of SCOPE, and store_id if there are several.
+    """
+    return with_texts(current_keys(docs), docs)
 
 
 def prepare(docs: DataFrame, mode: str = "markdown_docs_v1") -> DataFrame:
@@ -171,9 +189,9 @@ def ingest(
     if old.segments and profile not in dict(old.profiles):
         old = add_profile(old, profile, dimensions, embed)
     profiles = old.profiles or ((profile, dimensions),)
-    new, known = current(docs), old.live("documents")
+    new, known = cut(current_keys(docs)), old.live("documents")
     if known is None:
-        todo, gone, same = cut(new), None, 0
+        todo, gone, same = new, None, 0
     else:
         was = known.select("document_key", F.col("content_hash").alias("_h"), F.col("version").alias("_v"), F.col("acl").alias("_a"), "segment")
         rows = cut(new.join(was, "document_key", "left"))
@@ -197,7 +215,7 @@ def ingest(
         if n_gone:
             removed = (*removed, _write_gone(old, gone))
         if n_new:
-            segments = (*segments, _write_segment(spark, path, todo.drop("_h", "_v", "_a", "segment"), mode, profiles, embed))
+            segments = (*segments, _write_segment(spark, path, todo.drop("_h", "_v", "_a", "segment"), docs, mode, profiles, embed))
         state = _commit(old, segments, removed, profiles)
     live = state.live("documents")
     counts = spark.range(1).select(F.lit(0).alias("documents"), F.lit(0).alias("chunks")) if live is None else live.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
@@ -214,12 +232,12 @@ def remove(spark: SparkSession, path: str, documents: DataFrame) -> Store:
     return _commit(old, old.segments, (*old.gone, _write_gone(old, gone)), old.profiles) if not gone.isEmpty() else old
 
 
-def _write_segment(spark: SparkSession, path: str, docs: DataFrame, mode: str, profiles: tuple, embed: Embed) -> str:
+def _write_segment(spark: SparkSession, path: str, keys: DataFrame, docs: DataFrame, mode: str, profiles: tuple, embed: Embed) -> str:
     name = f"s{uuid.uuid4().hex}"
-    prepare(docs, mode).repartition("document_key").sortWithinPartitions("chunk_id").write.parquet(f"{path}/chunks/segment={name}")
+    _write_chunks(prepare(with_texts(keys, docs), mode), path, name)
     chunks = spark.read.parquet(f"{path}/chunks/segment={name}")
     counts = chunks.groupBy("document_key").agg(F.count(F.lit(1)).alias("chunks"), F.sum("terms").alias("terms"))
-    documents = docs.drop("text").join(counts, "document_key", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("chunks", "terms")})
+    documents = keys.join(counts, "document_key", "left").withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("chunks", "terms")})
     documents.write.parquet(f"{path}/documents/segment={name}")
     _write_index(spark, path, name)
     for profile, dimensions in profiles:
@@ -227,11 +245,13 @@ def _write_segment(spark: SparkSession, path: str, docs: DataFrame, mode: str, p
     return name
 
 
+def _write_chunks(chunks: DataFrame, path: str, segment: str) -> None:
+    chunks.sortWithinPartitions("chunk_id").write.option("compression", "zstd").parquet(f"{path}/chunks/segment={segment}")
+
+
 def _write_index(spark: SparkSession, path: str, segment: str) -> None:
     chunks = spark.read.parquet(f"{path}/chunks/segment={segment}")
-    total = chunks.agg(F.sum("terms")).first()[0] or 0
-    rows = cut(lx.postings(chunks, ["acl"]))
-    lx.write(lx.blocks(rows, ["acl"]), f"{path}/postings/segment={segment}", total)
+    lx.write_where_made(lx.chunk_blocks(chunks, ["acl"]), f"{path}/postings/segment={segment}")
 
 
 def _write_vectors(chunks: DataFrame, path: str, segment: str, profile: str, vector: Column) -> None:
@@ -268,7 +288,10 @@ def compact(spark: SparkSession, path: str) -> Store:
     name = f"s{uuid.uuid4().hex}"
     for table in ("documents", "chunks"):
         rows = old.live(table).drop("segment")
-        (rows.repartition("document_key").sortWithinPartitions("chunk_id") if table == "chunks" else rows).write.parquet(f"{path}/{table}/segment={name}")
+        if table == "chunks":
+            _write_chunks(rows.repartition("document_key"), path, name)
+        else:
+            rows.write.parquet(f"{path}/{table}/segment={name}")
     _write_index(spark, path, name)
     gone = old.removed("chunks")
     for profile, _ in old.profiles:
