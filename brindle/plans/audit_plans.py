@@ -253,14 +253,16 @@ union all select 'DEFINES', '2.10.' || k, 'Term ' || k from k union all select '
 def code_page_graph(t: Tables):
     """A chapter for each customer, with a section for each order: each defines a term, names an ordinance and refers to the next section."""
     k, root = F.col("o_orderkey").cast("string"), "https://code.example/TMC"
+    # A page is far larger than its order: orders are dealt first, to as many tasks as a shuffle has, not as their own size needs.
+    dealt = lambda c: t.orders.select("o_orderkey", "o_custkey").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), c)
     body = F.concat(
         F.lit("<html><body><nav><a href='/x'>x</a></nav><main><h1>2.10."), k, F.lit(" About it</h1><p>“Term "), k, F.lit("” means a thing &amp; more.</p><p>It goes on.</p><p>(Ord. "),
         (F.col("o_custkey") + 10000).cast("string"), F.lit(" § 3, 1-2-2020.)</p><p>See <a href='/TMC/2.10."), (F.col("o_orderkey") + 1).cast("string"), F.lit("#a'>next</a>.</p><p>Privacy Policy</p></main></body></html>"),
     )
-    pages = t.orders.select(F.concat(F.lit(f"{root}/2.10."), k).alias("url"), body.alias("html"))
+    pages = dealt("o_orderkey").select(F.concat(F.lit(f"{root}/2.10."), k).alias("url"), body.alias("html"))
     links = F.array_join(F.transform(F.collect_list("o_orderkey"), lambda x: F.concat(F.lit("<li><a href='/TMC/2.10."), x.cast("string"), F.lit("'>s</a></li>"))), "")
     who = F.col("o_custkey").cast("string")
-    chapter = t.orders.groupBy("o_custkey").agg(links.alias("links"))
+    chapter = dealt("o_custkey").groupBy("o_custkey").agg(links.alias("links"))
     chapter = chapter.select(F.concat(F.lit(f"{root}/ch"), who).alias("url"), F.concat(F.lit("<main><h2>Chapter "), who, F.lit(" All</h2><ul>"), "links", F.lit("</ul></main>")).alias("html"))
     nodes, edges = cp.code_graph(cut(cp.page_model(pages.unionByName(chapter), root)))
     name = F.when(F.col("type") == "chapter", F.concat(F.lit("Chapter "), F.regexp_replace("label", " All$", ""))).otherwise(F.regexp_replace("label", " About it$", ""))
