@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from brindle.functions import hashing as hs
-from brindle.operators.retrieval import _query_blocks, _unit, query_spans
+from brindle.operators.retrieval import _query_blocks, _unit, near_edge, query_spans
 
 #: Rows that the index is fitted on, at most; numbers of a vector in one part; entries of a part's book; rows of a list's file.
 MAX_SAMPLE, PART, ENTRIES, FILE_ROWS = 20_000, 4, 256, 1_000_000
@@ -133,11 +133,14 @@ def add(rows: DataFrame, path: str, keep: list[str] = (), mode: str = "append",
     dealt.write.mode(mode).partitionBy("list").parquet(f"{path}/lists")
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int, depth: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def search(
+    spark: SparkSession, path: str, queries: DataFrame, k: int, probes: int, depth: int | None = None, allowed: DataFrame | None = None, places: int | None = None,
+) -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest of each query (query_id, embedding) among its probed lists.
 
     depth: rows of a query that the codes choose for the exact ranking; None ranks all rows of the lists exactly. allowed: rows with
-    columns of the index (a scope) that a hit must agree with, applied before any cut.
+    columns of the index (a scope) that a hit must agree with, applied before any cut. places: exact scores are rounded to so many
+    before they are ranked.
     """
     q = open_quantiser(spark, path)
     table = spark.read.parquet(f"{path}/lists")
@@ -148,7 +151,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
     for ids, unit in _query_blocks(queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding"), "embedding"):
         near = q.probes(unit, probes)
         own = table.where(F.col("list").isin(*(int(i) for i in np.unique(near)))).select("list", "chunk_id", "codes" if depth else "embedding")
-        found.append(own.mapInArrow(_scorer(spark, q, pa.array(ids, to_arrow_type(queries.schema["query_id"].dataType)), unit, near, depth or k, exact=depth is None), kinds))
+        found.append(own.mapInArrow(_scorer(spark, q, pa.array(ids, to_arrow_type(queries.schema["query_id"].dataType)), unit, near, depth or k, depth is None, places), kinds))
     if not found:
         return spark.createDataFrame([], f"{kinds}, rank int").drop("list")
     hits = found[0]
@@ -159,11 +162,12 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, probes: i
         hits = hits.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= depth).select("query_id", "list", "chunk_id")
         vectors = table.select("list", "chunk_id", F.col("embedding").alias("v"))
         exact = hits.join(vectors, ["list", "chunk_id"]).join(queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")), "query_id")
-        hits = exact.select("query_id", "chunk_id", hs.cosine(F.col("q"), F.col("v")).alias("score"))
+        score = hs.cosine(F.col("q"), F.col("v"))
+        hits = exact.select("query_id", "chunk_id", (score if places is None else F.round(score, places)).alias("score"))
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", "score", "rank")
 
 
-def _scorer(spark: SparkSession, q: Quantiser, ids: pa.Array, unit: np.ndarray, near: np.ndarray, n: int, exact: bool):
+def _scorer(spark: SparkSession, q: Quantiser, ids: pa.Array, unit: np.ndarray, near: np.ndarray, n: int, exact: bool, places: int | None):
     """Scores of the rows of each list under the queries that probe it, the first n of each batch."""
     asked = {int(i): np.flatnonzero((near == i).any(1)) for i in np.unique(near)}
     sent = spark.sparkContext.broadcast((ids, unit, None if exact else q, unit @ q.centres.T, asked))
@@ -190,10 +194,9 @@ def _scorer(spark: SparkSession, q: Quantiser, ids: pa.Array, unit: np.ndarray,
                         tables, s = quantiser.tables(unit[who]), np.repeat(centre[who, i][:, None], len(at), axis=1)
                         for p in range(codes.shape[1]):
                             s += tables[:, p][:, codes[:, p]]
-                    edge = np.partition(s, len(at) - n, axis=1)[:, len(at) - n] if len(at) > n else np.full(len(who), -np.inf)
-                    x, y = np.nonzero(s >= edge[:, None] - 1e-12)
+                    x, y, score = near_edge(s, n, places if exact else None)
                     names = b.column(1).take(pa.array(at[y]))
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[x])), names, pa.array(np.full(len(x), i, np.int32)), pa.array(s[x, y])], ["query_id", "chunk_id", "list", "score"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(who[x])), names, pa.array(np.full(len(x), i, np.int32)), pa.array(score)], ["query_id", "chunk_id", "list", "score"])
 
     return run
 

@@ -31,14 +31,14 @@ def _dense_index(t: Tables) -> tuple[str, DataFrame]:
 def dense_index_all_lists(t: Tables):
     """Every list probed and ranked by its vectors: the exact answer through the index."""
     at, q = _dense_index(t)
-    return di.search(t.spark, at, q, 10, LISTS).withColumn("score", F.round("score", 6))
+    return di.search(t.spark, at, q, 10, LISTS, places=6)
 
 
 @query()
 def dense_index_topk(t: Tables):
     """As many lists as a sample needs, by codes, and as many rows again by their vectors."""
     at, q = _dense_index(t)
-    return di.search(t.spark, at, q, 10, *di.tuned(t.spark, at, 10)).withColumn("score", F.round("score", 6))
+    return di.search(t.spark, at, q, 10, *di.tuned(t.spark, at, 10), places=6)
 
 
 @query(f"""with {_DENSE} select query_id, chunk_id, score, rank::int as rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from s where label % 2 = 0) where rank <= 5""")
