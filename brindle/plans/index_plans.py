@@ -46,7 +46,7 @@ def dense_index_scoped(t: Tables):
     """Only rows of some labels may be found: the scope is applied in the index, before any cut."""
     at, q = _dense_index(t)
     labels = t.embeddings.where("label % 2 = 0").select("label").distinct()
-    return di.search(t.spark, at, q, 5, LISTS, allowed=labels).withColumn("score", F.round("score", 6))
+    return di.search(t.spark, at, q, 5, LISTS, allowed=labels, places=6)
 
 
 def _blocks(t: Tables) -> DataFrame:
